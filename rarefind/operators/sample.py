@@ -14,7 +14,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rarefind.functions.hashing import HASH_BITS, long_hash, unit_hash
-from rarefind.operators.skew import heavy_keys, match_keys, repeat_rows, split_heavy
+from rarefind.operators.skew import (
+    heavy_keys,
+    key_struct,
+    match_keys,
+    repeat_rows,
+    split_heavy,
+)
 
 SPLIT_SALT = "split:"
 FOLD_SALT = "fold:"
@@ -108,12 +114,12 @@ def remainder_rows(
     The sample's keys are made distinct before the join, so copies there cost one row. Keys that
     hold a large share of ``df`` never enter the shuffle: they are few, and are matched by broadcast.
     """
-    taken = sample.select(*keys).distinct()
+    taken = sample.select(key_struct(keys).alias("_key")).distinct()
     heavy = heavy_keys(df, keys, heavy_min_rows)
     if heavy is None:
         return match_keys(df, taken, keys, "left_anti")
     dense, light = split_heavy(df, heavy, keys)
-    heavy_taken, _ = split_heavy(taken, heavy, keys)
+    heavy_taken = taken.join(F.broadcast(heavy), "_key", "left_semi")
     return match_keys(light, taken, keys, "left_anti").unionByName(
         match_keys(dense, F.broadcast(heavy_taken), keys, "left_anti")
     )

@@ -1,35 +1,30 @@
-"""Help against keys and copies that hold a large share of all rows."""
+"""Even work per task: heavy keys, repeated rows, and the size of training partitions."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _BUCKETS = 4096
 _SHARE = 1 / 1024
 _CHUNK = 100_000
+_TRAINING_ROWS = 500_000
 
 
-def match_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    """A ``left_semi`` or ``left_anti`` join on the keys, null matching null.
-
-    The right side's keys get other names, since both sides often come from the same table.
-    """
-    renamed = right.select(*[F.col(k).alias(f"_right_{k}") for k in keys])
-    conditions = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
-    return left.join(renamed, conditions, how)
+def key_struct(keys: Sequence[str]) -> Column:
+    """The key as one struct: equal also where parts are null, and still a plain equi-join key."""
+    return F.struct(*keys)
 
 
-def split_heavy(df: DataFrame, heavy: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows of the heavy keys, and all others. ``heavy`` comes from ``heavy_keys``."""
-    few = F.broadcast(heavy)
-    return match_keys(df, few, keys, "left_semi"), match_keys(df, few, keys, "left_anti")
+def match_keys(df: DataFrame, found: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """``left_semi`` or ``left_anti`` join of rows with keys listed in the column ``_key``."""
+    return df.join(found, key_struct(keys) == F.col("_key"), how)
 
 
 def heavy_keys(df: DataFrame, keys: Sequence[str], min_rows: int = 1_000_000) -> DataFrame | None:
-    """The keys that hold more than 1/1024 of all rows and more than ``min_rows`` rows, or None.
+    """The keys (``_key``) with more than 1/1024 of all rows and more than ``min_rows``, or None.
 
     There can be at most 1,023 of them, so the result may be broadcast whatever the table size. A
     count per hash bucket (at most 4,096 rows, partial sums before the shuffle) comes first; only
@@ -41,8 +36,14 @@ def heavy_keys(df: DataFrame, keys: Sequence[str], min_rows: int = 1_000_000) ->
     hot = [r["bucket"] for r in sizes if r["count"] > limit]
     if not hot:
         return None
-    counts = df.filter(bucket.isin(hot)).groupBy(*keys).count()
-    return counts.filter(F.col("count") > limit).select(*keys)
+    counts = df.filter(bucket.isin(hot)).groupBy(key_struct(keys).alias("_key")).count()
+    return counts.filter(F.col("count") > limit).select("_key")
+
+
+def split_heavy(df: DataFrame, heavy: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows of the heavy keys, and all others. ``heavy`` comes from ``heavy_keys``."""
+    few = F.broadcast(heavy)
+    return match_keys(df, few, keys, "left_semi"), match_keys(df, few, keys, "left_anti")
 
 
 def repeat_rows(df: DataFrame, times: str, index: str | None = None) -> DataFrame:
@@ -61,3 +62,13 @@ def repeat_rows(df: DataFrame, times: str, index: str | None = None) -> DataFram
         *kept, F.explode(F.sequence(first, last)).alias(index or "_copy")
     )
     return numbered if index else numbered.drop("_copy")
+
+
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """Rows dealt out evenly into training partitions, at least one per core.
+
+    A sample of a large table otherwise keeps the table's many partitions, each nearly empty, and
+    every tree level or gradient step would start all of those tasks again.
+    """
+    at_least = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(at_least, -(-rows // _TRAINING_ROWS)))

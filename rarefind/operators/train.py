@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from rarefind.operators.aggregate import accuracy
+from rarefind.operators.skew import spread
 from rarefind.sources.models import save_model
 from rarefind.sources.scratch import ensure_checkpoint_dir
 
@@ -101,14 +102,12 @@ def param_grid(estimator, values: dict[str, Sequence]) -> list[dict]:
 def repeat_by_weight(train: DataFrame, weight: str) -> DataFrame:
     """Each row as often as its rounded weight, for estimators that take no weights.
 
-    The rare class is repeated where it lies and then spread evenly, so that tasks stay alike.
+    The copies are dealt out evenly, so that a task rich in the rare class gets no more work.
     """
     times = F.greatest(F.round(F.col(weight)).cast("int"), F.lit(0))
-    return (
-        train.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times)))
-        .drop("_copy", weight)
-        .hint("rebalance")
-    )
+    total = train.agg(F.sum(times)).first()[0] or 0
+    copies = train.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times)))
+    return spread(copies.drop("_copy", weight), total)
 
 
 @dataclass

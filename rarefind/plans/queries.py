@@ -12,6 +12,7 @@ from rarefind.functions.hashing import unit_hash
 from rarefind.functions.metrics import PUBLISHED_FP_SCALE
 from rarefind.operators import aggregate as agg
 from rarefind.operators import clean, features, project, sample, scale, score, search, train
+from rarefind.operators.skew import spread
 from rarefind.plans import fixtures as fx
 from rarefind.plans.reports import clean_csv, fraud_report, network_study
 from rarefind.sources.delimited import drop_header_rows, read_raw_csv, read_typed_csv
@@ -413,7 +414,7 @@ def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def _fitted(estimator, train_rows: DataFrame, rate: float | None = None):
     if rate is not None:
         drawn = sample.undersample_negatives(train_rows, rate, fx.HASH_KEYS)
-        train_rows = drawn.hint("rebalance")
+        train_rows = spread(drawn, drawn.count())
     return features.feature_pipeline(fx.FEATURES, estimator).fit(train_rows)
 
 
@@ -449,8 +450,17 @@ def _scaled_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
 @_query
 def train_linear_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     train_rows, test = _scaled_vectors(spark, sf_dir)
-    model = train.linear_svm(weightCol="weight").fit(scale.class_weight(train_rows))
-    return _quality(model.transform(test), (0.7, 0.95))
+    model = train.linear_svm().fit(train_rows.select("features", "label"))
+    # Without an intercept the plane goes through the mean and leaves half the negatives above it.
+    return _quality(model.transform(test), (0.4, 0.95))
+
+
+@_query
+def train_linear_svm_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train_rows, test = _scaled_vectors(spark, sf_dir)
+    weighed = scale.class_weight(train_rows).select("features", "label", "weight")
+    model = train.linear_svm(fitIntercept=True, weightCol="weight").fit(weighed)
+    return _quality(model.transform(test), (0.9, 0.95))
 
 
 @_query
@@ -528,11 +538,12 @@ def argmax_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report(spark: SparkSession, sf_dir: str):
-    """The whole chain from raw text, with the settings of the published default run."""
+    """The whole chain from raw text: clean, split, search over forests and rates, score, count."""
     rows = clean_csv(spark, fx.txn_csv(spark, sf_dir), _KEYS)
-    return fraud_report(rows, _KEYS, fx.HASH_KEYS)
+    return fraud_report(rows, _KEYS, fx.HASH_KEYS, rates=search.PUBLISHED_RATES[:2])
 
 
 @_query
 def fraud_report_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # One line in seven lost its features in the raw text, and the rare rows among those with them.
     return _quality(report(spark, sf_dir).scored, (0.95, 0.75))
