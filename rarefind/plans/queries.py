@@ -476,7 +476,7 @@ def train_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def train_until_no_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     study = network_study(
-        fx.txn(spark, sf_dir), _KEYS, round_iters=40, max_rounds=6, min_rounds=2, patience=2, floor=0.95
+        fx.txn(spark, sf_dir), _KEYS, round_iters=20, max_rounds=6, min_rounds=2, patience=2, floor=0.95
     )
     return _quality(study.scored, (0.95, 0.9))
 
