@@ -277,13 +277,22 @@ def chi_square_select(
     features: Sequence[str],
     label: str = "Class",
     top: int = PUBLISHED_TOP_FEATURES,
-) -> list[str]:
-    """The ``top`` features with the smallest p-value, an earlier column first in a tie."""
+) -> DataFrame:
+    """Scores with p-values; ``selected`` marks the ``top`` smallest, an earlier column first in a tie.
+
+    One row per feature, so ranking them is left to the driver.
+    """
     scores = {r["feature"]: r for r in chi_square_scores(df, features, label).collect()}
 
     def p_value(c: str) -> float:
         r = scores[c]
         return _upper_gamma_share(r["dof"] / 2, r["statistic"] / 2) if r["dof"] else 1.0
 
-    ranked = sorted(features, key=p_value)
-    return ranked[:top]
+    ranked = sorted(((p_value(c), i, c) for i, c in enumerate(features)))
+    rows = [
+        (c, scores[c]["statistic"], scores[c]["dof"], p, place < top)
+        for place, (p, _, c) in enumerate(ranked)
+    ]
+    return df.sparkSession.createDataFrame(
+        rows, "feature string, statistic double, dof bigint, p_value double, selected boolean"
+    )

@@ -57,6 +57,11 @@ def _between(x: Column, low: float | None, high: float | None) -> Column:
     return inside
 
 
+def _steps() -> Column:
+    """Evenly spaced shares from 0 to 1, given as text: one call instead of one per literal."""
+    return F.expr(f"array({', '.join(f'{k / _STEPS!r}D' for k in range(_STEPS + 1))})")
+
+
 def _first_trials(df: DataFrame, ranks_of: dict[str, Sequence[float]]) -> tuple[dict, list[_Rank]]:
     """Row counts per column, and the ranks wanted in each with their first trial values."""
     aggregates = []
@@ -98,9 +103,7 @@ def _narrow(df: DataFrame, ranks: list[_Rank]) -> None:
                 ]
         aggregates += [
             F.approx_count_distinct(inner).alias(f"d{i}"),
-            F.percentile_approx(
-                inner, [k / _STEPS for k in range(_STEPS + 1)], _ACCURACY
-            ).alias(f"q{i}"),
+            F.percentile_approx(inner, _steps(), _ACCURACY).alias(f"q{i}"),
         ]
     found = df.agg(*aggregates).first().asDict()
     for i, r in enumerate(ranks):
@@ -129,27 +132,35 @@ def _narrow(df: DataFrame, ranks: list[_Rank]) -> None:
 
 
 def _count_few(df: DataFrame, ranks: list[_Rank]) -> None:
-    """Find the ranks whose interval holds few distinct values, by counting those values."""
-    slots = [
+    """Find the ranks whose interval holds few distinct values, by counting those values.
+
+    Ranks with the same interval share the count.
+    """
+    slots: dict[tuple, list[_Rank]] = {}
+    for r in ranks:
+        slots.setdefault((r.column, r.low, r.high), []).append(r)
+    cells = [
         F.when(
-            _between(number_or_null(r.column), r.low, r.high),
-            F.struct(F.lit(i).alias("slot"), number_or_null(r.column).alias("x")),
+            _between(number_or_null(column), low, high),
+            F.struct(F.lit(i).alias("slot"), number_or_null(column).alias("x")),
         )
-        for i, r in enumerate(ranks)
+        for i, (column, low, high) in enumerate(slots)
     ]
-    upto = F.sum("n").over(Window.partitionBy("slot").orderBy("x"))
-    wanted = F.element_at(F.array(*[F.lit(r.row - r.below) for r in ranks]), F.col("slot") + 1)
+    wanted = F.array(*[F.array(*[F.lit(r.row - r.below) for r in group]) for group in slots.values()])
     hits = (
-        df.select(F.explode(F.array_compact(F.array(*slots))).alias("s"))
-        .groupBy("s.slot", "s.x")
+        df.select(F.explode(F.array_compact(F.array(*cells))).alias("cell"))
+        .groupBy("cell.slot", "cell.x")
         .agg(F.count("*").alias("n"))
-        .withColumn("upto", upto)
-        .filter((F.col("upto") > wanted) & (F.col("upto") - F.col("n") <= wanted))
-        .select("slot", "x")
+        .withColumn("upto", F.sum("n").over(Window.partitionBy("slot").orderBy("x")))
+        .withColumn("wanted", F.explode(F.element_at(wanted, F.col("slot") + 1)))
+        .filter((F.col("upto") > F.col("wanted")) & (F.col("upto") - F.col("n") <= F.col("wanted")))
+        .select("slot", "wanted", "x")
         .collect()
     )
-    for hit in hits:
-        ranks[hit["slot"]].value = hit["x"]
+    value = {(h["slot"], h["wanted"]): h["x"] for h in hits}
+    for i, group in enumerate(slots.values()):
+        for r in group:
+            r.value = value[i, r.row - r.below]
 
 
 def exact_quantiles(

@@ -32,7 +32,7 @@ SHUFFLE_SALT = "shuffle:"
 PUBLISHED_TRAIN_SHARE = 0.6
 PUBLISHED_SPLIT_SEED = 24
 
-_DIGIT_BITS = 16
+_DIGIT_BITS = 12
 _SMALL_BUCKET = 1 << 16
 _MAX_GROUPS = 1000
 
@@ -169,9 +169,10 @@ def _by_group(values: dict, otherwise) -> Column:
 def _find_cuts(hashed: DataFrame, target: Column) -> dict:
     """Per group, where the rows with the smallest hashes stop, given how many are wanted.
 
-    Each round counts rows per 16-bit digit of the hash (at most 65,536 counts per group, summed
-    before the shuffle) and goes on inside the one digit that holds the cut. Two rounds do for four
-    billion rows, three for far more than any table holds. Rows are never sorted or moved.
+    Each round counts rows per 12-bit digit of the hash (at most 4,096 counts per group, summed
+    before the shuffle) and goes on inside the one digit that holds the cut; once that holds few
+    rows, the last round counts single hashes. Two rounds do for hundreds of millions of rows, three
+    for a trillion. Rows are never sorted or moved.
     """
     cuts: dict = {}
     rows, wanted, shift = hashed, target, HASH_BITS - _DIGIT_BITS

@@ -49,19 +49,28 @@ def split_heavy(df: DataFrame, heavy: DataFrame, keys: Sequence[str]) -> tuple[D
 def repeat_rows(df: DataFrame, times: str, index: str | None = None) -> DataFrame:
     """Each row ``times`` over (the column is dropped), numbered from 0 in ``index`` if named.
 
-    A row is first turned into chunks, which are spread over the cluster, so that a very large
-    count does not run in one task.
+    Small counts are written out where the row lies. A row with a very large count is first cut into
+    chunks, which are spread over the cluster, so that no task writes out all of its copies.
     """
     kept = [c for c in df.columns if c != times]
-    chunks = df.filter(F.col(times) > 0).select(
-        "*", F.explode(F.sequence(F.lit(0), F.floor((F.col(times) - 1) / _CHUNK))).alias("_chunk")
+    number = index or "_copy"
+    n = F.col(times)
+
+    def numbered(first: Column, last: Column) -> list[Column]:
+        return [*[F.col(c) for c in kept], F.explode(F.sequence(first, last)).alias(number)]
+
+    small = df.filter((n > 0) & (n <= _CHUNK)).select(
+        *numbered(F.lit(0).cast("bigint"), n.cast("bigint") - 1)
     )
     first = F.col("_chunk") * _CHUNK
-    last = F.least(first + _CHUNK, F.col(times)) - 1
-    numbered = chunks.repartition("_chunk").select(
-        *kept, F.explode(F.sequence(first, last)).alias(index or "_copy")
+    large = (
+        df.filter(n > _CHUNK)
+        .select("*", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / _CHUNK))).alias("_chunk"))
+        .repartition(*kept, "_chunk")
+        .select(*numbered(first, F.least(first + _CHUNK, n.cast("bigint")) - 1))
     )
-    return numbered if index else numbered.drop("_copy")
+    out = small.unionByName(large)
+    return out if index else out.drop(number)
 
 
 def spread(df: DataFrame, rows: int) -> DataFrame:

@@ -349,14 +349,8 @@ def class_histogram_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def chi_square_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = clean.floor_discretize(fx.txn(spark, sf_dir), fx.FEATURES)
-    scores = agg.chi_square_scores(rows, fx.FEATURES)
     chosen = agg.chi_square_select(rows, fx.FEATURES)
-    return scores.select(
-        "feature",
-        _round("statistic", 4).alias("statistic"),
-        "dof",
-        F.col("feature").isin(chosen).alias("selected"),
-    )
+    return chosen.select("feature", _round("statistic", 4).alias("statistic"), "dof", "selected")
 
 
 # ---- feature stages ----
@@ -413,9 +407,9 @@ def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def _fitted(estimator, train_rows: DataFrame, rate: float | None = None):
     if rate is not None:
-        drawn = sample.undersample_negatives(train_rows, rate, fx.HASH_KEYS)
-        train_rows = spread(drawn, drawn.count())
-    return features.feature_pipeline(fx.FEATURES, estimator).fit(train_rows)
+        train_rows = sample.undersample_negatives(train_rows, rate, fx.HASH_KEYS)
+    even = spread(train_rows, train_rows.count())
+    return features.feature_pipeline(fx.FEATURES, estimator).fit(even)
 
 
 @_query

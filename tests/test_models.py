@@ -83,6 +83,16 @@ def test_published_grids(spark):
     assert len(train.param_grid(forest, train.FOREST_GRID_SMALL)) == 1
 
 
+def test_boosting_stops_early_on_validation_rows(spark, lines):
+    rows = sample.undersample_negatives(lines, 0.1, fx.HASH_KEYS)
+    rows = sample.add_random_column(rows, fx.HASH_KEYS).withColumn("held", F.col("_rand") < 0.3)
+    boosting = train.gradient_boosted_trees(
+        spark, maxIter=12, maxDepth=3, validationIndicatorCol="held", validationTol=0.5
+    )
+    model = features.feature_pipeline(fx.FEATURES, boosting).fit(rows)
+    assert model.stages[-1].getNumTrees < 12
+
+
 def test_repeat_by_weight(spark):
     df = spark.createDataFrame([("a", 2.6), ("b", 1.0), ("c", 0.2)], "v string, weight double")
     out = train.repeat_by_weight(df, "weight")
