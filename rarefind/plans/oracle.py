@@ -116,10 +116,10 @@ _METRICS = f"metrics AS (SELECT *, {_f1('tp', 'fp', 'fn', '(1 / rate)')} AS metr
 
 def _describe() -> str:
     rows = "\nUNION ALL\n".join(
-        f"""SELECT '{c}' AS feature, CAST(count({c}) AS bigint) AS count, round(avg({c}), 6) AS mean,
-       round(stddev_samp({c}), 6) AS std, round(min({c}), 6) AS min,
-       round(quantile_cont({c}, 0.25), 6) AS p25, round(quantile_cont({c}, 0.5), 6) AS p50,
-       round(quantile_cont({c}, 0.75), 6) AS p75, round(max({c}), 6) AS max FROM txn"""
+        f"""SELECT '{c}' AS feature, CAST(count({c}) AS bigint) AS count, round(avg({c}), 7) AS mean,
+       round(stddev_samp({c}), 7) AS std, round(min({c}), 7) AS min,
+       round(quantile_cont({c}, 0.25), 7) AS p25, round(quantile_cont({c}, 0.5), 7) AS p50,
+       round(quantile_cont({c}, 0.75), 7) AS p75, round(max({c}), 7) AS max FROM txn"""
         for c in [*FEATURES, "Class"]
     )
     return _with(_TXN) + rows

@@ -321,9 +321,9 @@ def weighted_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def describe(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = agg.describe(fx.txn(spark, sf_dir), [*fx.FEATURES, "Class"])
-    return stats.select(
-        "feature", "count", *[_round(c).alias(c) for c in stats.columns if c not in ("feature", "count")]
-    )
+    # Means of cents and whole numbers over 60,000 rows can end exactly halfway at six digits.
+    rounded = [_round(c, 7).alias(c) for c in stats.columns if c not in ("feature", "count")]
+    return stats.select("feature", "count", *rounded)
 
 
 @_query
