@@ -144,11 +144,12 @@ def class_counts(df: DataFrame, label: str = "Class") -> DataFrame:
     return df.groupBy(label).agg(F.count("*").alias("n"))
 
 
-def _few_classes(df: DataFrame, label: str) -> dict:
-    rows = class_counts(df, label).limit(_MAX_CLASSES + 1).collect()
+def _per_class(df: DataFrame, label: str, *aggregates: Column) -> list:
+    """One row per class, on the driver; a column that is no class label is refused."""
+    rows = df.groupBy(label).agg(*aggregates).limit(_MAX_CLASSES + 1).collect()
     if len(rows) > _MAX_CLASSES:
         raise ValueError(f"{label} has more than {_MAX_CLASSES} values; is it a class label?")
-    return {r[label]: r["n"] for r in rows}
+    return rows
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -173,6 +174,11 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def _doubles(values: Sequence[float]) -> Column:
+    """An array literal, given as text: one call instead of one per element."""
+    return F.expr("array(" + ", ".join(f"double('{v!r}')" for v in values) + ")")
+
+
 def class_histogram(
     df: DataFrame, features: Sequence[str], label: str = "Class", bins: int = PUBLISHED_BINS
 ) -> DataFrame:
@@ -181,38 +187,36 @@ def class_histogram(
     Returns (class, feature, bin, n) for the bins that hold rows. The ranges, one row per class,
     go into the second pass as literals.
     """
-    _few_classes(df, label)
-    ranges = df.groupBy(label).agg(
-        *[F.min(number_or_null(c)).alias(f"lo{i}") for i, c in enumerate(features)],
-        *[F.max(number_or_null(c)).alias(f"hi{i}") for i, c in enumerate(features)],
-    ).collect()
-
-    def bin_of(i: int, c: str) -> Column:
-        chosen = F.lit(None).cast("bigint")
-        for r in ranges:
-            low, high = r[f"lo{i}"], r[f"hi{i}"]
-            if low is None:
-                continue
-            width = (high - low) / bins
-            at = F.lit(0).cast("bigint")
-            if width > 0:
-                at = F.least(F.floor((number_or_null(c) - low) / width), F.lit(bins - 1))
-            hit = F.col(label).eqNullSafe(F.lit(r[label])) & number_or_null(c).isNotNull()
-            chosen = F.when(hit, at.cast("bigint")).otherwise(chosen)
-        return chosen
-
-    cells = F.array(
-        *[
-            F.struct(F.lit(c).alias("feature"), bin_of(i, c).alias("bin"))
-            for i, c in enumerate(features)
-        ]
+    ranges = _per_class(
+        df,
+        label,
+        F.array(*[F.min(number_or_null(c)) for c in features]).alias("low"),
+        F.array(*[F.max(number_or_null(c)) for c in features]).alias("high"),
     )
-    return (
-        df.select(F.col(label).alias("class"), F.inline(cells))
-        .filter(F.col("bin").isNotNull())
-        .groupBy("class", "feature", "bin")
+    lows, widths = F.lit(None), F.lit(None)
+    for r in ranges:
+        # A feature without values in this class has no cells to place, so its range does not matter.
+        low = [v or 0.0 for v in r["low"]]
+        width = [((v or 0.0) - a) / bins for a, v in zip(low, r["high"])]
+        hit = F.col(label).eqNullSafe(F.lit(r[label]))
+        lows = F.when(hit, _doubles(low)).otherwise(lows)
+        widths = F.when(hit, _doubles(width)).otherwise(widths)
+
+    cells = df.select(
+        F.col(label).alias("class"),
+        lows.alias("lows"),
+        widths.alias("widths"),
+        F.posexplode(F.array(*[number_or_null(c) for c in features])).alias("i", "x"),
+    ).filter(F.col("x").isNotNull())
+    low, width = F.get("lows", F.col("i")), F.get("widths", F.col("i"))
+    at = F.least(F.floor((F.col("x") - low) / width), F.lit(bins - 1))
+    counts = (
+        cells.select("class", "i", F.when(width > 0, at).otherwise(0).cast("bigint").alias("bin"))
+        .groupBy("class", "i", "bin")
         .agg(F.count("*").alias("n"))
     )
+    feature = F.get(F.array(*[F.lit(c) for c in features]), F.col("i"))
+    return counts.select("class", feature.alias("feature"), "bin", "n")
 
 
 def _upper_gamma_share(a: float, x: float) -> float:
@@ -249,7 +253,7 @@ def chi_square_scores(df: DataFrame, features: Sequence[str], label: str = "Clas
     One shuffle, of per-value counts already summed in each task. Unlike ``ChiSquareTest`` it sets
     no limit on the number of distinct values.
     """
-    totals = _few_classes(df, label)
+    totals = {r[label]: r["n"] for r in _per_class(df, label, F.count("*").alias("n"))}
     n = sum(totals.values())
     cells = F.array(
         *[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in features]

@@ -148,7 +148,8 @@ def _count_few(df: DataFrame, ranks: list[_Rank]) -> None:
     ]
     wanted = F.array(*[F.array(*[F.lit(r.row - r.below) for r in group]) for group in slots.values()])
     hits = (
-        df.select(F.explode(F.array_compact(F.array(*cells))).alias("cell"))
+        df.select(F.explode(F.array(*cells)).alias("cell"))
+        .filter(F.col("cell").isNotNull())
         .groupBy("cell.slot", "cell.x")
         .agg(F.count("*").alias("n"))
         .withColumn("upto", F.sum("n").over(Window.partitionBy("slot").orderBy("x")))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 _BUCKETS = 4096
 _SHARE = 1 / 1024
 _CHUNK = 100_000
-_TRAINING_ROWS = 500_000
+_MIN_TRAINING_ROWS = 5_000
+_MAX_TRAINING_ROWS = 500_000
 
 
 def key_struct(keys: Sequence[str]) -> Column:
@@ -74,10 +75,11 @@ def repeat_rows(df: DataFrame, times: str, index: str | None = None) -> DataFram
 
 
 def spread(df: DataFrame, rows: int) -> DataFrame:
-    """Rows dealt out evenly into training partitions, at least one per core.
+    """Rows dealt out evenly into training partitions: all cores busy, none with a handful of rows.
 
     A sample of a large table otherwise keeps the table's many partitions, each nearly empty, and
     every tree level or gradient step would start all of those tasks again.
     """
-    at_least = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(max(at_least, -(-rows // _TRAINING_ROWS)))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    busy = min(cores, -(-rows // _MIN_TRAINING_ROWS))
+    return df.repartition(max(1, busy, -(-rows // _MAX_TRAINING_ROWS)))

@@ -9,6 +9,7 @@ from rarefind.sources.scratch import fresh_path
 
 HASH_KEYS = ["l_orderkey", "l_lineno", "l_partkey"]
 ROW_KEYS = [*HASH_KEYS, "l_suppkey"]
+KEY_TYPES = {"l_orderkey": "bigint", "l_lineno": "int", "l_partkey": "bigint", "l_suppkey": "bigint"}
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
 COMPONENTS = [f"V{i}" for i in range(1, 29)]
 

@@ -284,7 +284,7 @@ SELECT {_K}, Class, label FROM txn JOIN codes USING (Class)""",
     )}
 SELECT doc_id, quality, label FROM docs JOIN codes USING (quality)""",
     "vector_index": _vector_index(),
-    "feature_pipeline": _support("quality_ok"),
+    "feature_stages": _support("quality_ok"),
     "train_random_forest": _support("quality_ok"),
     "train_gbt": _support("quality_ok"),
     "train_linear_svm": _support("quality_ok"),
@@ -309,6 +309,7 @@ FROM halves WHERE rn > n // 2 GROUP BY Class""",
     "argmax_prediction": """SELECT vec_id,
        CAST(list_position(embedding, list_max(embedding)) - 1 AS bigint) AS prediction FROM embeddings""",
     "fraud_report": _support("quality_ok"),
+    "fraud_report_gbt": _support("quality_ok"),
 }
 
 

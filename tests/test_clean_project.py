@@ -130,6 +130,10 @@ def test_shared_folder_follows_the_session(spark):
 
     class Context:
         master = "spark://host:7077"
+        folder = None
+
+        def getCheckpointDir(self):
+            return self.folder
 
     class Cluster:
         conf, sparkContext = Conf(), Context()
@@ -138,4 +142,6 @@ def test_shared_folder_follows_the_session(spark):
     Conf.get = lambda self, key, default: default
     with pytest.raises(ValueError):
         scratch.shared_folder(Cluster())
+    Context.folder = "/set/by/hand"
+    assert scratch.shared_folder(Cluster()) == "/set/by/hand"
     assert scratch.shared_folder(spark) == scratch.shared_folder(spark)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from rarefind.functions.hashing import unit_hash
 from rarefind.operators import aggregate as agg
 from rarefind.operators import features, sample, score, search, train
+from rarefind.operators.skew import spread
 from rarefind.plans import fixtures as fx
 from rarefind.plans.reports import network_study
 from rarefind.sources.models import load_model
@@ -98,7 +99,13 @@ def test_repeat_by_weight(spark):
     out = train.repeat_by_weight(df, "weight")
     assert out.columns == ["v"]
     assert Counter(r["v"] for r in out.collect()) == {"a": 3, "b": 1}
-    assert out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert out.rdd.getNumPartitions() == 1
+
+
+def test_training_partitions_follow_the_rows(spark):
+    df, cores = spark.range(10), spark.sparkContext.defaultParallelism
+    for rows, partitions in [(0, 1), (12_000, 3), (10**6, cores), (10**9, 2000)]:
+        assert spread(df, rows).rdd.getNumPartitions() == partitions
 
 
 class _Scripted:
