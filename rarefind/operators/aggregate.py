@@ -165,7 +165,10 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                 F.avg(x).alias("mean"),
                 F.stddev_samp(x).alias("std"),
                 F.min(x).alias("min"),
-                *[F.lit(quartiles[c][k]).cast("double").alias(f"p{p}") for k, p in enumerate((25, 50, 75))],
+                *[
+                    F.lit(quartiles[c][k]).cast("double").alias(name)
+                    for k, name in enumerate(("p25", "p50", "p75"))
+                ],
                 F.max(x).alias("max"),
             ).alias(f"s{i}")
         )

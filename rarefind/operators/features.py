@@ -63,6 +63,8 @@ def _indexer(input: str, output: str, max_categories: int) -> VectorIndexer:
 
 def label_stage(label: str, positive: float | None) -> Estimator | Transformer:
     """The pipeline's label column: pinned to a value, or by frequency when that is None."""
+    if label == "label":
+        raise ValueError("the class column must not be called 'label'; the pipeline adds that name")
     if positive is None:
         return StringIndexer(inputCol=label, outputCol="label")
     return SQLTransformer(

@@ -177,9 +177,8 @@ def _find_cuts(hashed: DataFrame, target: Column) -> dict:
     cuts: dict = {}
     rows, wanted, shift = hashed, target, HASH_BITS - _DIGIT_BITS
     while True:
-        counts = rows.groupBy(
-            "_group", F.shiftright("_hash", shift).alias("bucket")
-        ).agg(F.count("*").alias("n"))
+        bucket = F.shiftright("_hash", shift).alias("bucket")
+        counts = rows.groupBy("_group", bucket).agg(F.count("*").alias("n"))
         group = Window.partitionBy("_group")
         found = (
             counts.withColumn("_total", F.sum("n").over(group))
@@ -248,9 +247,7 @@ def exact_split(
     same_key = hashed.filter(at(cuts)).withColumn("_hash", row_hash)
     row_cuts = _find_cuts(same_key.select("_group", "_hash"), open_places(cuts))
     sample = sample.unionByName(same_key.filter(below(row_cuts)).select(*columns))
-    rest = rest.unionByName(
-        same_key.filter(~below(row_cuts) & ~at(row_cuts)).select(*columns)
-    )
+    rest = rest.unionByName(same_key.filter(~below(row_cuts) & ~at(row_cuts)).select(*columns))
     if not any(c.tied for c in row_cuts.values()):
         return sample, rest
 

@@ -496,11 +496,11 @@ def score_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     train_rows, test = _split(spark, sf_dir)
     model = _fitted(train.random_forest(spark, maxDepth=8, numTrees=20), train_rows, 0.1)
     scored = features.score(model, test)
+    total = F.aggregate(vector_to_array("probability"), F.lit(0.0), lambda a, p: a + p)
     return scored.groupBy("label").agg(
         F.count("*").alias("n"),
         F.bool_and(F.col("prediction").isin(0.0, 1.0)).alias("predictions_ok"),
-        F.bool_and(F.abs(F.aggregate(vector_to_array("probability"), F.lit(0.0), lambda a, p: a + p) - 1) < 1e-9)
-        .alias("probabilities_ok"),
+        F.bool_and(F.abs(total - 1) < 1e-9).alias("probabilities_ok"),
     )
 
 
