@@ -15,7 +15,7 @@ from rarefind.sources.scratch import fresh_path
 _PACKAGE_ROOT = str(Path(__file__).resolve().parents[2])
 
 # Code points that str.split() takes as white space and the word rule does not.
-_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SPACE_INSIDE_RUN = re.compile(r"\s (?:\s|\Z)")
 _UPPER = re.compile("[A-Z]+")

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rarefind.llm.byte_bpe import codec_digests
 from rarefind.llm.common import read_table
+from rarefind.llm.licenses import scan_licences
 from rarefind.llm.packing import pack_texts
+from rarefind.llm.quality import quality_rules
 from rarefind.llm.token_counts import token_counts
+from rarefind.llm.url_filter import Rule, filter_urls, hosts_with_terms
+from rarefind.llm.vector_search import nearest_neighbours
 
 REGISTRY = {}
 ORACLE_SQL = {}
@@ -33,9 +38,81 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_texts(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@_query
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule statistics and verdict of every document."""
+    judged = quality_rules(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    )
+    return judged.select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+    )
+
+
+URL_RULES = [
+    Rule("block", "net"),
+    Rule("allow", "example.net", "/en/"),
+    Rule("block", "example.com", "/de/"),
+    Rule("allow", "org", "/fr/"),
+]
+BLOCKED_TERMS = ["ads", "adult", "bets", "casino", "pills", "spam"]
+
+
+@_query
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url against the rules, and against the hosts that carry a blocked term."""
+    pages = read_table(spark, sf_dir, "pages")
+    return filter_urls(pages, URL_RULES, hosts_with_terms(pages, BLOCKED_TERMS))
+
+
+ORACLE_SQL["op4_url_filter"] = f"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+  FROM pages
+), parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM cut
+), rules AS (
+  SELECT * FROM (VALUES {", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in URL_RULES)})
+    AS r(action, rule_host, rule_path)
+), fitting AS (
+  SELECT page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+    arg_max(action, length(rule_host || rule_path)) AS action
+  FROM parts, rules
+  WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY page_id
+)
+SELECT p.page_id, host, path, rule, coalesce(action,
+  CASE WHEN regexp_matches(host, '(^|[.-])({"|".join(BLOCKED_TERMS)})([.-]|$)') THEN 'block' ELSE 'allow' END
+) AS verdict
+FROM parts p LEFT JOIN fitting f ON p.page_id = f.page_id
+"""
+
+
 @_query
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded."""
     docs = read_table(spark, sf_dir, "documents")
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return codec_digests(docs, ranks, public_tokenizers.PATTERN)
+
+
+@_query
+def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices and tags of every document."""
+    return scan_licences(read_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth one."""
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return nearest_neighbours(vectors, F.col("vec_id") % 100 == 0)
