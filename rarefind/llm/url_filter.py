@@ -19,6 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rarefind.llm.bloom import Bloom, bits_for, build_bloom
 from rarefind.llm.common import stored
 
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -55,63 +56,20 @@ def _after_scheme(url: Column) -> Column:
     return F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise("")
 
 
-@dataclass(frozen=True)
-class _Level:
-    bits: bytes
-    size: int
-    hashes: int
-
-
 @dataclass
 class Cascade:
     """Levels of a finished cascade; ``contains`` is exact for every key of the universe."""
 
-    levels: list[_Level] = field(default_factory=list)
+    levels: list[Bloom] = field(default_factory=list)
 
     def contains(self, key: Column) -> Column:
         listed = F.lit(len(self.levels) % 2 == 1)
         for i in reversed(range(len(self.levels))):
-            listed = F.when(_passes(self.levels[i], i, key), listed).otherwise(F.lit(i % 2 == 1))
+            listed = F.when(self.levels[i].may_contain(key), listed).otherwise(F.lit(i % 2 == 1))
         return listed
 
     def passes_all(self, key: Column) -> Column:
-        return reduce(Column.__and__, [_passes(v, i, key) for i, v in enumerate(self.levels)], F.lit(True))
-
-
-def _places(key: Column, number: int, size: int, hashes: int) -> list[Column]:
-    """Bit numbers of a key at a level, by double hashing."""
-    first = F.pmod(F.xxhash64(key, F.lit(2 * number)), F.lit(size))
-    step = F.pmod(F.xxhash64(key, F.lit(2 * number + 1)), F.lit(size - 1)) + 1
-    return [F.pmod(first + j * step, F.lit(size)) for j in range(hashes)]
-
-
-def _passes(level: _Level, number: int, key: Column) -> Column:
-    bits = F.lit(level.bits)
-
-    def is_set(place: Column) -> Column:
-        byte = F.substring(bits, (F.floor(place / 8) + 1).cast("int"), F.lit(1))
-        return F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (place % 8).cast("int")) == 1
-
-    return reduce(Column.__and__, [is_set(p) for p in _places(key, number, level.size, level.hashes)])
-
-
-def _encode(keys: DataFrame, number: int, n: int, mistakes: float) -> _Level:
-    """A Bloom filter of the n keys that lets others pass at the rate ``mistakes``."""
-    per_key = math.log2(1 / mistakes)
-    size = max(64, 8 * math.ceil(n * per_key / math.log(2) / 8))
-    if size > MAX_LEVEL_BITS:
-        raise ValueError(f"a list of {n} keys takes {size} bits, over {MAX_LEVEL_BITS}; split the list")
-    hashes = max(1, round(per_key))
-    place = F.explode(F.array(*_places(F.col("key"), number, size, hashes))).alias("place")
-    rows = (
-        keys.select(place)
-        .groupBy(F.floor(F.col("place") / 8).alias("byte"))
-        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1), (F.col("place") % 8).cast("int"))).alias("bits"))
-    )
-    bits = bytearray(size // 8)
-    for r in rows.toLocalIterator():
-        bits[r["byte"]] = r["bits"]
-    return _Level(bytes(bits), size, hashes)
+        return reduce(Column.__and__, [level.may_contain(key) for level in self.levels], F.lit(True))
 
 
 def build_cascade(universe: DataFrame, max_levels: int = 64) -> Cascade:
@@ -129,7 +87,10 @@ def build_cascade(universe: DataFrame, max_levels: int = 64) -> Cascade:
         if number == max_levels:
             raise ValueError("the keys of the universe are not distinct")
         rest = universe.filter((F.col("listed") == F.lit(number % 2 == 0)) & cascade.passes_all(F.col("key")))
-        cascade.levels.append(_encode(rest, number, n, max(mistakes, 1e-6)))
+        mistakes = max(mistakes, 1e-6)
+        if bits_for(n, mistakes) > MAX_LEVEL_BITS:
+            raise ValueError(f"a list of {n} keys takes over {MAX_LEVEL_BITS} bits; split the list")
+        cascade.levels.append(build_bloom(rest.select("key"), n, mistakes, number))
         wrong = (F.col("listed") == F.lit(number % 2 == 1)) & cascade.passes_all(F.col("key"))
         n, mistakes = universe.filter(wrong).count(), 0.5
     return cascade
