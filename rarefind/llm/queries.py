@@ -11,6 +11,7 @@ from rarefind.llm.common import read_table
 from rarefind.llm.licenses import scan_licences
 from rarefind.llm.packing import pack_texts
 from rarefind.llm.quality import quality_rules
+from rarefind.llm.suffix_dedup import remove_repeats
 from rarefind.llm.token_counts import token_counts
 from rarefind.llm.url_filter import Rule, filter_urls, hosts_with_terms
 from rarefind.llm.vector_search import nearest_neighbours
@@ -105,6 +106,12 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec_digests(docs, ranks, public_tokenizers.PATTERN)
 
 
+@_query
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 400-byte windows that occur elsewhere."""
+    return remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence notices and tags of every document."""
