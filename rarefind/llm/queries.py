@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rarefind.llm.byte_bpe import codec_digests
 from rarefind.llm.common import read_table
+from rarefind.llm.jaccard_join import similar_components
 from rarefind.llm.licenses import scan_licences
 from rarefind.llm.packing import pack_texts
 from rarefind.llm.quality import quality_rules
@@ -112,6 +113,12 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component under links of 3-word shingles, Jaccard 0.9 or more."""
+    return similar_components(read_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence notices and tags of every document."""

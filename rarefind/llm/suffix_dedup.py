@@ -96,8 +96,8 @@ def _bytes_of_runs(texts: DataFrame, kinds: DataFrame, window: int) -> DataFrame
 
     kind = texts.schema["_id"].dataType.simpleString()
     schema = f"_id {kind}, _hash bigint, " + ", ".join(f"{f} bigint" for f in fields) + ", data binary"
-    # Rows that are equal in id and text are alike; one of them is enough.
-    return map_batches(joined.dropDuplicates(["_id", "_hash"]), cut, schema)
+    # Rows that are equal in id and text come more than once, and their windows do occur more than once.
+    return map_batches(joined, cut, schema)
 
 
 def _in_slabs(batch: pa.RecordBatch, column: int) -> Iterator[tuple[np.ndarray, SliceHashes, np.ndarray]]:
@@ -239,7 +239,7 @@ def remove_repeats(
     Texts are read in place. Only those that a fixed-size Bloom filter takes for ones with a repeated window
     are moved to meet their runs.
     """
-    row = F.struct(*[F.col(c) for c in docs.columns] if with_kept else [F.lit(0).alias("none")]).alias("row")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns] if with_kept else [F.lit(0).alias("none")]).alias("row")
     texts = _texts(docs, id_col, text_col, row)
     runs = repeated_runs(docs, id_col, text_col, window)
     mine = runs.groupBy("_id", "_hash").agg(F.collect_set(F.struct("first", "count")).alias("runs"))
