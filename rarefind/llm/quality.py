@@ -13,10 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rarefind.llm.common import map_batches, stored, words
+from rarefind.llm.common import map_batches, words
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -87,6 +87,11 @@ def text_statistics(text: str | None) -> tuple[int, ...]:
     )
 
 
+def _counted(texts: pa.Array) -> dict[str, np.ndarray]:
+    rows = [text_statistics(t.as_py()) for t in texts]
+    return {c: np.array([r[i] for r in rows], np.int64) for i, c in enumerate((*_COUNTS, *_MORE_COUNTS))}
+
+
 def rule_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ...) of every whole text.
 
@@ -96,8 +101,7 @@ def rule_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [text_statistics(t.as_py()) for t in batch.column(1)]
-            columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))]
+            columns = [pa.array(v) for v in _counted(batch.column(1)).values()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[id_col, *names])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -105,10 +109,10 @@ def rule_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return map_batches(docs.select(id_col, text_col), count, schema)
 
 
-def base_failed() -> Column:
+def base_failed(counts: dict[str, np.ndarray]) -> np.ndarray:
     """The fixed rules: too few words, or too many of them in repeated windows."""
-    n = F.col("n_words")
-    return (n < MIN_WORDS) | (F.col("n_repeat_words") * 100 > n * MAX_REPEAT_PERCENT)
+    n = counts["n_words"]
+    return (n < MIN_WORDS) | (counts["n_repeat_words"] * 100 > n * MAX_REPEAT_PERCENT)
 
 
 def _rates(columns: dict[str, np.ndarray], usual: np.ndarray | None) -> np.ndarray:
@@ -214,9 +218,10 @@ def _threshold(good: np.ndarray, bad: np.ndarray, max_good_rejected: float) -> f
 
 
 def fit_quality(
-    statistics: DataFrame,
+    docs: DataFrame,
     labels: DataFrame,
     id_col: str = "doc_id",
+    text_col: str = "text",
     label_col: str = "quality",
     max_labelled: int = MAX_LABELLED,
     seed: int = 7,
@@ -224,21 +229,24 @@ def fit_quality(
     """Forest and threshold from at most ``max_labelled`` labelled rows, drawn by hash of the id.
 
     Labels are 1 for good and 0 for bad; other labels, unlabelled texts and texts that fail the base
-    rules take no part. Without good labelled rows there is no model.
+    rules take no part. Without good labelled rows there is no model. The drawn ids are broadcast (their
+    number is bounded), and statistics are taken of their texts only.
     """
     drawn = (
-        labels.select(F.col(id_col), F.col(label_col).cast("int").alias("_label"))
-        .filter(F.col("_label").isin(0, 1) & F.col(id_col).isNotNull())
-        .orderBy(F.xxhash64(id_col), id_col, "_label")
+        labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
+        .filter(F.col("_label").isin(0, 1) & F.col("_id").isNotNull())
+        .groupBy("_id")
+        .agg(F.min("_label").alias("_label"))
+        .orderBy(F.xxhash64("_id"), "_id")
         .limit(max_labelled)
     )
-    rows = statistics.filter(~base_failed()).join(drawn, id_col)
-    columns = (*_COUNTS, *_MORE_COUNTS)
-    found = rows.select("_label", *columns).orderBy(F.xxhash64(id_col, *columns)).limit(
-        max_labelled
-    ).toPandas()
-    counts = {c: found[c].to_numpy() for c in columns}
-    good = found["_label"].to_numpy() == 1
+    texts = docs.join(F.broadcast(drawn), F.col(id_col) == F.col("_id")).select("_label", text_col)
+    statistics = rule_statistics(texts, "_label", text_col)
+    found = statistics.orderBy(F.xxhash64(*statistics.columns), "n_words").limit(max_labelled).toPandas()
+    counts = {c: found[c].to_numpy() for c in (*_COUNTS, *_MORE_COUNTS)}
+    passed = ~base_failed(counts)
+    counts = {c: v[passed] for c, v in counts.items()}
+    good = found["_label"].to_numpy()[passed] == 1
     if not good.any():
         return None
     usual = _rates({c: v[good] for c, v in counts.items()}, None)
@@ -248,40 +256,44 @@ def fit_quality(
     return QualityModel(usual, forest, _threshold(scores[good], scores[~good], MAX_GOOD_REJECTED))
 
 
-def judge(statistics: DataFrame, model: QualityModel | None, id_col: str = "doc_id") -> DataFrame:
-    """Add base_failed, score and kept. Without a model the base rules alone decide."""
-    flagged = statistics.withColumn("base_failed", base_failed())
-    if model is None:
-        return flagged.withColumn("score", F.lit(None).cast("double")).withColumn(
-            "kept", ~F.col("base_failed")
-        )
-    names = (*_COUNTS, *_MORE_COUNTS)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
-            scores = pa.array(model.score(counts), pa.float64())
-            arrays = [*batch.columns, scores]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, "score"])
-
-    schema = ", ".join(f"`{c}` {t}" for c, t in flagged.dtypes) + ", score double"
-    kept = ~F.col("base_failed") & (F.col("score") <= F.lit(model.threshold))
-    return map_batches(flagged, score, schema).withColumn("kept", kept)
-
-
 def quality_rules(
     docs: DataFrame,
     labels: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "quality",
+    with_rows: bool = False,
 ) -> DataFrame:
     """Statistics, base verdict, anomaly score and final verdict of every text.
 
     Columns: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_upper, n_marks,
-    base_failed, score, kept. Texts are read once: the counts are stored in the shared folder
-    (some numbers per row), the forest is fitted on a bounded sample of them and scores the stored rows.
-    A null or empty text has no words and fails the base rules. Repeated ids are judged row by row.
+    base_failed, score, kept; with ``with_rows`` also ``row``, a struct of the input columns. The forest is
+    fitted on a bounded sample first; then every text is counted and judged where it lies, without a shuffle.
+    A null or empty text has no words and fails the base rules. Without a model (no good labels) the base
+    rules alone decide and scores are null. Repeated ids are judged row by row.
     """
-    statistics = stored(rule_statistics(docs, id_col, text_col), "rule_statistics")
-    return judge(statistics, fit_quality(statistics, labels, id_col, label_col), id_col)
+    model = fit_quality(docs, labels, id_col, text_col, label_col)
+    names = [id_col, *_COUNTS, *_MORE_COUNTS, "base_failed", "score", "kept"] + ["row"] * with_rows
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    given = docs.select(F.col(id_col), F.col(text_col), *[row] * with_rows)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = _counted(batch.column(1))
+            failed = base_failed(counts)
+            if model is None:
+                scores, kept = pa.nulls(len(failed), pa.float64()), ~failed
+            else:
+                x = model.score(counts)
+                scores, kept = pa.array(x, pa.float64()), ~failed & (x <= model.threshold)
+            columns = [batch.column(0), *[pa.array(v) for v in counts.values()]]
+            columns += [pa.array(failed, pa.bool_()), scores, pa.array(kept, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*columns, *batch.columns[2:]], names=names)
+
+    types = dict(given.dtypes)
+    schema = ", ".join(
+        [f"`{id_col}` {types[id_col]}", *[f"{c} bigint" for c in (*_COUNTS, *_MORE_COUNTS)]]
+        + ["base_failed boolean", "score double", "kept boolean"]
+        + [f"row {types.get('row')}"] * with_rows
+    )
+    return map_batches(given, judge, schema)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from rarefind.llm.byte_bpe import codec_digests
 from rarefind.llm.common import read_table
 from rarefind.llm.jaccard_join import similar_components
+from rarefind.llm.language_id import identify_languages, page_evidence, train_text_model
 from rarefind.llm.licenses import scan_licences
 from rarefind.llm.packing import pack_texts
 from rarefind.llm.quality import quality_rules
@@ -125,6 +126,14 @@ def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(read_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every page, with a text model learnt from the documents."""
+    model = train_text_model(read_table(spark, sf_dir, "documents"))
+    found = identify_languages(page_evidence(read_table(spark, sf_dir, "pages")), model)
+    return found.withColumnRenamed("id", "page_id")
+
+
 @_query
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest vectors of every hundredth one."""
