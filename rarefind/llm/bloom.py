@@ -1,4 +1,8 @@
-"""Bloom filters as bit strings in column expressions: built by aggregates, asked without a join."""
+"""Bloom filters as bit strings in column expressions: built by aggregates, asked without a join.
+
+The bit string is one row of a stored table and enters an expression as a scalar subquery: Spark reads it once
+for a query and hands it to the tasks. As a literal it would be spelled out wherever the plan is printed.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rarefind.llm.common import stored
+
 #: Bits of one aggregated bitmap, as fixed by Spark's bitmap functions.
 _BUCKET_BITS = 32_768
 
@@ -17,14 +23,14 @@ _BUCKET_BITS = 32_768
 class Bloom:
     """``seed`` tells apart the hashes of filters that are asked about the same keys."""
 
-    bits: bytes
+    bits: DataFrame
     size: int
     hashes: int
     seed: int
 
     def may_contain(self, *key: Column) -> Column:
         """False only for keys that were not put in."""
-        bits = F.lit(self.bits)
+        bits = self.bits.scalar()
 
         def is_set(place: Column) -> Column:
             byte = F.substring(bits, (F.floor(place / 8) + 1).cast("int"), F.lit(1))
@@ -57,7 +63,9 @@ def build_bloom(keys: DataFrame, n: int, mistakes: float, seed: int = 0, max_bit
     for r in maps.toLocalIterator():
         at = r["bucket"] * _BUCKET_BITS // 8
         bits[at : at + len(r["bits"])] = r["bits"]
-    return Bloom(bytes(bits[: -(-size // 8)]), size, hashes, seed)
+    spark = keys.sparkSession
+    row = stored(spark.createDataFrame([(bits[: -(-size // 8)],)], "bits binary"), "bloom")
+    return Bloom(row, size, hashes, seed)
 
 
 def _places(key: list[Column] | tuple[Column, ...], size: int, hashes: int, seed: int) -> list[Column]:

@@ -3,8 +3,8 @@
 A cascade answers for a known universe of keys, here every key that the pages can ask for. Its first level
 encodes the listed keys, the second the unlisted keys that pass the first by mistake, the third the listed
 keys that pass the second, and so on until nothing passes by mistake. The first level that a key fails
-tells whether it is listed. Levels are bit strings put into the expression as literals: about 10 bits for
-a listed key, and far fewer for all others.
+tells whether it is listed. Levels are bit strings inside the expression: about 10 bits for a listed key,
+and far fewer for all others.
 
 Everything runs as DataFrame expressions. Only finished bit strings reach the driver, never keys.
 """
