@@ -1,0 +1,295 @@
+"""Per-text operators against plain Python: token counts, byte-level BPE, quality rules, licences, languages."""
+
+import hashlib
+import math
+import re
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from rarefind.llm import language_id, licenses, quality
+from rarefind.llm.byte_bpe import ByteBpe, TextCodec, codec_digests, decode_ids, encode_texts, load_ranks
+from rarefind.llm.common import RecentMemo, lower_ascii, words
+from rarefind.llm.token_counts import LongestMatchCounter, token_counts
+
+MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+ODD_TEXTS = [None, "", " ", "a", "a  ", "x\x1c \x1cy", "\n\n \t x", "日本語 🙂", "▁a ▁", "a" * 30_000, "x y " * 9_000]
+
+
+def _docs(spark, texts):
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)] + [(None, "null id", None, None, None)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def _word(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+@given(st.text(alphabet=st.sampled_from("aB\x1c\x85  \t\n\v é"), max_size=30))
+def test_words_and_lower_case(text):
+    assert words(text) == _word(text)
+    assert lower_ascii(text) == re.sub("[A-Z]", lambda m: m[0].lower(), text)
+
+
+def test_recent_memo_is_bounded():
+    calls = []
+    memo = RecentMemo(lambda keys: [calls.append(k) or k * 2 for k in keys], 10)
+    for i in range(200):
+        assert memo.lookup({i, 1}) == {i: 2 * i, 1: 2}
+    assert calls.count(1) == 1
+    assert len(memo._young) + len(memo._old) < 30
+
+
+def _greedy(text, pieces):
+    n = i = 0
+    longest = max(map(len, pieces))
+    while i < len(text):
+        for j in range(min(len(text), i + longest), i, -1):
+            if text[i:j] in pieces:
+                i, n = j, n + 1
+                break
+        else:
+            n += len(text[i].encode())
+            i += 1
+    return n
+
+
+@settings(max_examples=300)
+@given(
+    st.sets(st.text(alphabet="abcé", min_size=1, max_size=5), min_size=1, max_size=12),
+    st.text(alphabet="abcéz", max_size=20),
+)
+def test_automaton_counts_like_greedy_matching(pieces, text):
+    singles = {c for p in pieces for c in p}
+    if all(c in pieces or len(c.encode()) == 1 for c in singles):
+        assert LongestMatchCounter(pieces).count(text) == _greedy(text, pieces | {c for c in singles})
+
+
+def test_token_counts(spark, sf_dir):
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    ids = range(model.get_piece_size())
+    special = [model.is_control, model.is_unknown, model.is_byte]
+    pieces = {model.id_to_piece(i) for i in ids if not any(f(i) for f in special)}
+    docs = _docs(spark, ODD_TEXTS).withColumnRenamed("lang", "n_words")
+    found = {r["doc_id"]: (r["n_words"], r["n_tokens"]) for r in token_counts(docs, PIECES).collect()}
+    for i, text in enumerate(ODD_TEXTS[:9]):
+        assert found[i] == (len(_word(text)), sum(_greedy("▁" + w, pieces) for w in _word(text)))
+    real = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(20)
+    counted = {r["doc_id"]: r["n_tokens"] for r in token_counts(real, PIECES).collect()}
+    for r in real.collect():
+        assert counted[r["doc_id"]] == sum(_greedy("▁" + w, pieces) for w in _word(r["text"]))
+    assert token_counts(docs.limit(0), PIECES).collect() == []
+
+
+@pytest.fixture(scope="module")
+def tik():
+    return tiktoken.Encoding(
+        "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(MULTI), special_tokens={}
+    )
+
+
+@pytest.fixture(scope="module")
+def bpe():
+    return ByteBpe(load_ranks(MULTI), public_tokenizers.PATTERN)
+
+
+def _digest(tik, text):
+    ids = tik.encode_ordinary(text or "")
+    listed = ",".join(map(str, ids)).encode()
+    return len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()
+
+
+def test_every_vocabulary_entry_is_one_id(bpe):
+    tokens = [t for t in load_ranks(MULTI)]
+    from rarefind.llm.byte_bpe import as_letters
+
+    merged = bpe._model.encode([as_letters(t) for t in tokens], num_threads=1)
+    assert merged == [[i] for i in load_ranks(MULTI).values()]
+
+
+@settings(max_examples=300, deadline=None)
+@given(text=st.text(alphabet=st.sampled_from("ab'sé1 .\n\t\x1c 日#"), max_size=40))
+def test_bpe_equals_tiktoken(tik, bpe, text):
+    assert TextCodec(bpe, 100).digests([text]) == [_digest(tik, text)]
+
+
+def test_codec_digests(spark, tik, sf_dir):
+    found = {r[0]: tuple(r[1:]) for r in codec_digests(_docs(spark, ODD_TEXTS), MULTI, public_tokenizers.PATTERN).collect()}
+    assert all(found[i] == _digest(tik, t) for i, t in enumerate(ODD_TEXTS))
+    real = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = {r[0]: tuple(r[1:]) for r in codec_digests(real, MULTI, public_tokenizers.PATTERN).collect()}
+    assert all(found[r["doc_id"]] == _digest(tik, r["text"]) for r in real.collect())
+
+
+def test_encode_and_decode_tables(spark, tik):
+    encoded = encode_texts(_docs(spark, ODD_TEXTS), MULTI, public_tokenizers.PATTERN)
+    assert {r[0]: r[1] for r in encoded.collect()}[7] == tik.encode_ordinary(ODD_TEXTS[7])
+    back = {r[0]: bytes(r[1]).decode() for r in decode_ids(encoded, MULTI, public_tokenizers.PATTERN).collect()}
+    assert all(back[i] == (t or "") for i, t in enumerate(ODD_TEXTS))
+
+
+def _repeats(found):
+    windows = [tuple(found[i : i + 5]) for i in range(len(found) - 4)]
+    often = {w for w, n in Counter(windows).items() if n > 1}
+    return len({i + k for i, w in enumerate(windows) if w in often for k in range(5)})
+
+
+@given(st.lists(st.sampled_from("abc"), max_size=40))
+def test_repeated_words(found):
+    assert quality.repeated_words(found) == _repeats(found)
+
+
+def test_text_statistics():
+    text = "Ab c#\n\nx y\nx y\n x y\n\n$ | é.\nx y"
+    assert quality.text_statistics(text) == (13, 16, 3, 2, 0, 1, 1)
+    assert quality.text_statistics(None) == quality.text_statistics("") == (0,) * 7
+
+
+def test_forest_isolates_outliers():
+    x = np.random.default_rng(1).normal(size=(2000, 4))
+    forest = quality.IsolationForest.fit(x, 100, 256, 3)
+    assert forest.score(np.full((1, 4), 8.0))[0] > np.quantile(forest.score(x), 0.999)
+    # A leaf's depth is what random splits leave: all trees of one row are as deep as no split at all.
+    assert quality.IsolationForest.fit(x[:1], 5, 256, 3).score(x[:2]).tolist() == [1.0, 1.0]
+
+
+def test_quality_rules(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = labels.filter("doc_id % 3 = 0")
+    judged = quality.quality_rules(docs, labels.filter("doc_id % 3 != 0"), with_rows=True)
+    rows = {r["doc_id"]: r for r in judged.collect()}
+    for r in docs.limit(50).collect():
+        mine, found = rows[r["doc_id"]], _word(r["text"])
+        assert mine["row"].asDict() == r.asDict()
+        assert mine["n_words"] == len(found) and mine["n_repeat_words"] == _repeats(found)
+        assert mine["base_failed"] == (len(found) < 10 or 100 * _repeats(found) > 20 * len(found))
+    good = [rows[r["doc_id"]] for r in held_out.collect() if r["quality"] == 1]
+    bad = [rows[r["doc_id"]] for r in held_out.collect() if r["quality"] == 0]
+    assert np.mean([r["kept"] for r in good if not r["base_failed"]]) > 0.98
+    assert np.mean([r["kept"] for r in bad]) < 0.1
+
+
+def test_quality_rules_without_labels_and_rows(spark):
+    docs = _docs(spark, [*ODD_TEXTS, "one two three four five six seven eight nine ten"])
+    labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    rows = {r["doc_id"]: r for r in quality.quality_rules(docs, labels).collect()}
+    assert rows[11]["kept"] and rows[11]["score"] is None
+    assert not any(rows[i]["kept"] for i in range(11))
+    assert quality.quality_rules(docs.limit(0), labels).collect() == []
+
+
+def _base_places(text):
+    lowered = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    found = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
+    at = []
+    for phrase in licenses.BASE_PHRASES:
+        p = phrase.split()
+        at += [i for i in range(len(found)) if found[i : i + len(p)] == p]
+    return len(found), len(at), min(at, default=None), max(at, default=None)
+
+
+@settings(max_examples=200)
+@given(st.lists(st.sampled_from("under the mit license apache version 2 cc by nc é.x".split()), max_size=40))
+def test_base_phrases(found):
+    scanner = licenses.LicenceScanner(licenses.BASE_PHRASES, licenses.NOTICES)
+    text = " -".join(found)
+    assert scanner.scan(text)[:4] == _base_places(text)
+
+
+@pytest.mark.parametrize(
+    ("text", "labels", "freedom"),
+    [
+        ("MIT", {"mit"}, 1.0),
+        ("MIT OR GPL-3.0-only AND AGPL-3.0", {"mit", "gpl-3", "agpl"}, 1.0),
+        ("(MIT OR GPL-3.0) AND AGPL-3.0", {"mit", "gpl-3", "agpl"}, 0.3),
+        ("GPL-2.0 WITH Classpath-exception-2.0", {"gpl-2"}, 0.7),
+        ("MIT AND", {"mit"}, 1.0),
+        ("((MIT", {"mit"}, 1.0),
+        ("MIT) OR x", {"mit"}, 1.0),
+        ("Own-1 odd", {"own-1"}, 0.5),
+    ],
+)
+def test_licence_expressions(text, labels, freedom):
+    terms = licenses.evaluate_expression(text)
+    assert terms.labels == labels
+    assert math.isclose(terms.freedom, freedom)
+
+
+def test_no_licence_expression():
+    assert [licenses.evaluate_expression(t) for t in ("", "OR MIT", "(", ")")] == [None] * 4
+
+
+def test_scan_licences(spark):
+    texts = [
+        *ODD_TEXTS,
+        "Licensed under CC BY-NC 4.0. Released under the MIT License.",
+        "SPDX-License-Identifier: (Apache-2.0 OR MIT) AND BSD-3-Clause\nx",
+    ]
+    rows = {r["doc_id"]: r for r in licenses.scan_licences(_docs(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        assert tuple(rows[i][c] for c in ("n_words", "n_base", "first_word", "last_word")) == _base_places(t)
+    assert (rows[0]["labels"], rows[0]["base_labels"], rows[0]["score"]) == ("", "", 0.5)
+    assert (rows[11]["base_labels"], rows[11]["score"]) == ("cc-by-nc,mit", 0.2)
+    assert (rows[12]["labels"], rows[12]["base_labels"], rows[12]["score"]) == ("apache-2,bsd,mit", "", 1.0)
+    assert licenses.scan_licences(_docs(spark, []).limit(0)).collect() == []
+
+
+def _page(lang, text):
+    return f'<html lang="{lang}"><script>var x = "nothing of this";</script><body><p>{text}</p><!-- no --></body></html>'
+
+
+def test_language_of_pages_and_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.train_text_model(docs.filter("doc_id % 2 = 0"), max_texts=300)
+    held_out = docs.filter("doc_id % 2 = 1")
+    found = language_id.identify_languages(language_id.document_evidence(held_out), model).collect()
+    truth = {r["doc_id"]: r["lang"] for r in held_out.select("doc_id", "lang").collect()}
+    assert np.mean([r["lang"] == truth[r["id"]] for r in found]) > 0.98
+    assert np.mean([r["accepted"] for r in found]) > 0.99
+
+    by_lang = {r["lang"]: r["text"] for r in docs.filter("n_chars > 500").collect()}
+    urls = "https://a.example.com/{}/1"
+    rows = [(i, urls.format(lang), _page(lang, text)) for i, (lang, text) in enumerate(sorted(by_lang.items()))]
+    rows += [(10, None, None), (11, "x", ""), (12, urls.format("en"), _page("fr", by_lang["de"])), (None, "http://", "<p>")]
+    rows += [(13, urls.format("en"), _page("en", "9999 !!! 1234 ### " * 50)), (14, urls.format("en"), _page("en", "кью дзз жщж " * 80))]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r["id"]: r for r in language_id.identify_languages(language_id.page_evidence(pages), model).collect()}
+    assert [got[i]["lang"] for i in range(4)] == sorted(by_lang)
+    assert got[12]["lang"] == "de" and got[12]["declared"] == "fr"
+    assert not got[10]["accepted"] and not got[11]["accepted"] and not got[None]["accepted"]
+    assert not got[13]["accepted"]
+    assert got[14]["lang"] == language_id.NONE and not got[14]["accepted"]
+    assert language_id.identify_languages(language_id.page_evidence(pages.limit(0)), model).collect() == []
+
+
+def test_language_evidence_moves_short_texts(spark):
+    """A text that fits two languages alike goes by what else is known of it."""
+    table = np.full((1 << 16, 3), -10.0, np.float32)
+    model = language_id.TextModel(["aa", "bb"], table)
+    table[:, 2] = -12
+    sure = table.copy()
+    rows = [(i, "word " * 3, "aa" if i % 2 else "bb", "", "host") for i in range(10)]
+    evidence = spark.createDataFrame(rows, "id bigint, text string, declared string, suffix string, host string")
+    from pyspark.sql import functions as F
+
+    found = language_id.identify_languages(evidence.withColumn("markup", F.lit(False)), model).collect()
+    assert all(0.3 < r["posterior"] <= 1 for r in found)
+    assert sure.shape == table.shape
+
+
+def test_language_without_training_rows(spark):
+    empty = spark.createDataFrame([], DOCS)
+    model = language_id.train_text_model(empty)
+    assert model.languages == []
+    found = language_id.identify_languages(language_id.document_evidence(_docs(spark, ["some text"])), model).collect()
+    assert not any(r["accepted"] for r in found)
