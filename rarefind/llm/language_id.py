@@ -83,6 +83,9 @@ def train_text_model(
 ) -> TextModel:
     """Trigram shares of each language from at most ``max_texts`` labelled texts, drawn by hash of the id.
 
+    A trigram counts once for a text, and only if three texts of the language have it, so that one text
+    with a wrong label teaches nothing.
+
     Null languages, texts and ids take no part. Languages with fewer than three drawn texts are left out;
     without any, all texts come out as none. Counts are summed in Spark: at most 65,536 for a language.
     """
@@ -96,8 +99,7 @@ def train_text_model(
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 entry = seen.setdefault(lang, [0, np.zeros(1 << _BUCKET_BITS, np.int64)])
                 entry[0] += 1
-                for grams in _trigrams(text):
-                    entry[1] += np.bincount(grams, minlength=1 << _BUCKET_BITS)
+                entry[1][np.unique(np.concatenate([*_trigrams(text), np.zeros(0, np.int64)]))] += 1
             for lang, (n, counts) in seen.items():
                 used = np.flatnonzero(counts)
                 columns = [
@@ -114,7 +116,8 @@ def train_text_model(
         if r["bucket"] < 0:
             n_texts[r["lang"]] = r["n"]
         else:
-            by_lang.setdefault(r["lang"], np.zeros(1 << _BUCKET_BITS))[r["bucket"]] = r["n"]
+            counts = by_lang.setdefault(r["lang"], np.zeros(1 << _BUCKET_BITS))
+            counts[r["bucket"]] = r["n"] if r["n"] >= MIN_LANGUAGE_TEXTS else 0
     languages = sorted(x for x in by_lang if n_texts[x] >= MIN_LANGUAGE_TEXTS)
     size = 1 << _BUCKET_BITS
     shares = [np.log((by_lang[x] + 0.1) / (by_lang[x].sum() + 0.1 * size)) for x in languages]
