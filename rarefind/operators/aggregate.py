@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rarefind.functions.metrics import corrected_f1, f1
@@ -19,8 +19,6 @@ from rarefind.operators.quantiles import exact_quantiles, number_or_null
 PUBLISHED_BINS = 50
 PUBLISHED_TOP_FEATURES = 30
 
-_MAX_CLASSES = 1000
-
 
 def _count(condition: Column, name: str) -> Column:
     return F.count_if(condition).alias(name)
@@ -59,31 +57,32 @@ def confusion_counts(
 
 
 def fold_confusion(
-    scored: DataFrame, predictions: dict[str, Column], fold: str, label: str = "label"
+    scored: DataFrame, predictions: dict[int, Column], fold: str, label: str = "label"
 ) -> DataFrame:
     """tp, fp and fn of many trials in one pass: columns (trial, fold, tp, fp, fn).
 
-    ``predictions`` maps a trial's name to its 0/1 prediction. The counts of all trials are one wide
-    aggregate with a row per fold, so the table is read once whatever the number of trials.
+    ``predictions`` maps a trial's number to its 0/1 prediction. Rows are counted by fold, label and the array
+    of all predictions, of which there are few kinds; these groups are unfolded into trials afterwards. The
+    table is read once whatever the number of trials.
     """
-    truth = F.col(label)
-    wide = scored.groupBy(fold).agg(
-        *[
-            F.struct(
-                _count((said == 1) & (truth == 1), "tp"),
-                _count((said == 1) & (truth == 0), "fp"),
-                _count((said == 0) & (truth == 1), "fn"),
-            ).alias(f"t{i}")
-            for i, said in enumerate(predictions.values())
-        ]
-    )
-    trials = F.array(
-        *[
-            F.struct(F.lit(name).alias("trial"), *[F.col(f"t{i}.{c}") for c in ("tp", "fp", "fn")])
-            for i, name in enumerate(predictions)
-        ]
+    said = F.array(*[p.cast("tinyint") for p in predictions.values()])
+    kinds = scored.groupBy(fold, F.col(label).alias("_truth"), said.alias("_said")).agg(F.count("*").alias("_n"))
+    unfolded = kinds.select(fold, "_truth", "_n", F.posexplode("_said").alias("_i", "_p"))
+
+    def total(condition: Column, name: str) -> Column:
+        return F.sum(F.when(condition, F.col("_n")).otherwise(0)).alias(name)
+
+    truth, p = F.col("_truth"), F.col("_p")
+    trial = F.get(F.array(*[F.lit(t) for t in predictions]), F.col("_i"))
+    return (
+        unfolded.groupBy("_i", fold)
+        .agg(
+            total((p == 1) & (truth == 1), "tp"),
+            total((p == 1) & (truth == 0), "fp"),
+            total((p == 0) & (truth == 1), "fn"),
+        )
+        .select(trial.alias("trial"), fold, "tp", "fp", "fn")
     )
-    return wide.select(fold, F.inline(trials))
 
 
 def corrected_f1_score(counts: DataFrame, fp_scale: float | Column = 1.0) -> DataFrame:
@@ -144,14 +143,6 @@ def class_counts(df: DataFrame, label: str = "Class") -> DataFrame:
     return df.groupBy(label).agg(F.count("*").alias("n"))
 
 
-def _per_class(df: DataFrame, label: str, *aggregates: Column) -> list:
-    """One row per class, on the driver; a column that is no class label is refused."""
-    rows = df.groupBy(label).agg(*aggregates).limit(_MAX_CLASSES + 1).collect()
-    if len(rows) > _MAX_CLASSES:
-        raise ValueError(f"{label} has more than {_MAX_CLASSES} values; is it a class label?")
-    return rows
-
-
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, sample deviation, minimum, exact quartiles and maximum: one row per column."""
     quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
@@ -177,9 +168,10 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def _doubles(values: Sequence[float]) -> Column:
-    """An array literal, given as text: one call instead of one per element."""
-    return F.expr("array(" + ", ".join(f"double('{v!r}')" for v in values) + ")")
+def _finite_or_null(column: str) -> Column:
+    """NaN and infinite values count as missing."""
+    x = number_or_null(column)
+    return F.when(F.abs(x) < float("inf"), x)
 
 
 def class_histogram(
@@ -187,95 +179,97 @@ def class_histogram(
 ) -> DataFrame:
     """Equal-width bins per class and feature, each over that class's own range.
 
-    Returns (class, feature, bin, n) for the bins that hold rows. The ranges, one row per class,
-    go into the second pass as literals.
+    Returns (class, feature, bin, n) for the bins that hold rows. Missing, NaN and infinite values are left
+    out. The ranges are a table with a row per class, joined by the label.
     """
-    ranges = _per_class(
-        df,
-        label,
-        F.array(*[F.min(number_or_null(c)) for c in features]).alias("low"),
-        F.array(*[F.max(number_or_null(c)) for c in features]).alias("high"),
+    values = F.array(*[_finite_or_null(c) for c in features])
+    ranges = df.groupBy(F.col(label).alias("_class")).agg(
+        F.array(*[F.min(_finite_or_null(c)) for c in features]).alias("_low"),
+        F.array(*[F.max(_finite_or_null(c)) for c in features]).alias("_high"),
+    )
+    rows = df.select(F.col(label).alias("class"), values.alias("_x"))
+    rows = rows.join(ranges, F.col("class").eqNullSafe(F.col("_class")))
+    width = F.zip_with("_low", "_high", lambda low, high: (high - low) / bins)
+    from_low = F.zip_with("_x", "_low", lambda x, low: x - low)
+    bin_of = F.zip_with(
+        from_low,
+        width,
+        lambda x, w: F.when(x.isNull(), None).when(w > 0, F.least(F.floor(x / w), F.lit(bins - 1))).otherwise(0),
     )
-    lows, widths = F.lit(None), F.lit(None)
-    for r in ranges:
-        # A feature without values in this class has no cells to place, so its range does not matter.
-        low = [v or 0.0 for v in r["low"]]
-        width = [((v or 0.0) - a) / bins for a, v in zip(low, r["high"])]
-        hit = F.col(label).eqNullSafe(F.lit(r[label]))
-        lows = F.when(hit, _doubles(low)).otherwise(lows)
-        widths = F.when(hit, _doubles(width)).otherwise(widths)
-
-    cells = df.select(
-        F.col(label).alias("class"),
-        lows.alias("lows"),
-        widths.alias("widths"),
-        F.posexplode(F.array(*[number_or_null(c) for c in features])).alias("i", "x"),
-    ).filter(F.col("x").isNotNull())
-    low, width = F.get("lows", F.col("i")), F.get("widths", F.col("i"))
-    at = F.least(F.floor((F.col("x") - low) / width), F.lit(bins - 1))
     counts = (
-        cells.select("class", "i", F.when(width > 0, at).otherwise(0).cast("bigint").alias("bin"))
-        .groupBy("class", "i", "bin")
+        rows.select("class", F.posexplode(bin_of).alias("i", "bin"))
+        .filter(F.col("bin").isNotNull())
+        .groupBy("class", "i", F.col("bin").cast("bigint").alias("bin"))
         .agg(F.count("*").alias("n"))
     )
     feature = F.get(F.array(*[F.lit(c) for c in features]), F.col("i"))
     return counts.select("class", feature.alias("feature"), "bin", "n")
 
 
-def _upper_gamma_share(a: float, x: float) -> float:
-    """The regularized upper incomplete gamma function: series below a + 1, else Lentz's fraction."""
+_MAX_TERMS = 1_000_000
+
+
+def log_upper_gamma_share(a: float, x: float) -> float:
+    """Logarithm of the regularized upper incomplete gamma function.
+
+    A series below a + 1, else a continued fraction; in logarithms, so that shares far below the smallest
+    double still have an order.
+    """
     if x <= 0:
-        return 1.0
-    front = math.exp(-x + a * math.log(x) - math.lgamma(a))
+        return 0.0
+    log_front = -x + a * math.log(x) - math.lgamma(a)
     if x < a + 1:
         term = total = 1.0 / a
-        k = a
-        while abs(term) > abs(total) * 1e-15:
-            k += 1
-            term *= x / k
+        for k in range(1, _MAX_TERMS):
+            term *= x / (a + k)
             total += term
-        return max(0.0, 1.0 - total * front)
+            if term <= total * 1e-16:
+                break
+        lower = math.exp(min(0.0, log_front + math.log(total)))
+        return math.log1p(-lower) if lower < 1 else -math.inf
     tiny = 1e-300
     b = x + 1 - a
     c, d = 1 / tiny, 1 / b
-    h, i = d, 0
-    while True:
-        i += 1
+    h = d
+    for i in range(1, _MAX_TERMS):
         step = -i * (i - a)
         b += 2
         d = 1 / (step * d + b or tiny)
         c = b + step / c or tiny
         h *= d * c
         if abs(d * c - 1) < 1e-15:
-            return front * h
+            break
+    return log_front + math.log(h)
 
 
 def chi_square_scores(df: DataFrame, features: Sequence[str], label: str = "Class") -> DataFrame:
     """Pearson's chi-square of each feature's values against the label: (feature, statistic, dof).
 
-    One shuffle, of per-value counts already summed in each task. Unlike ``ChiSquareTest`` it sets
-    no limit on the number of distinct values.
+    Counts per (feature, value, label) are summed in each task before the one large shuffle; class totals are a
+    table joined by the label. The statistic adds up (o - e)^2 / e; cells without rows add their e, which is
+    taken from whole counts. There is no limit on the number of values or classes.
     """
-    totals = {r[label]: r["n"] for r in _per_class(df, label, F.count("*").alias("n"))}
-    n = sum(totals.values())
     cells = F.array(
         *[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in features]
     )
-    per_value = (
+    classes = df.groupBy(F.col(label).alias("_class")).agg(F.count("*").alias("in_class"))
+    n, n_classes = classes.agg(F.sum("in_class"), F.count("*")).first()
+    observed = (
         df.select(F.col(label).alias("_label"), F.inline(cells))
-        .groupBy("feature", "value")
-        .agg(
-            F.count("*").alias("n"),
-            *[_count(F.col("_label").eqNullSafe(F.lit(v)), f"n{j}") for j, v in enumerate(totals)],
-        )
+        .groupBy("feature", "value", "_label")
+        .agg(F.count("*").alias("o"))
+        .withColumn("in_value", F.sum("o").over(Window.partitionBy("feature", "value")))
+        .join(classes, F.col("_label").eqNullSafe(F.col("_class")))
     )
-    share = sum(
-        (F.col(f"n{j}") * F.col(f"n{j}").cast("double") / F.lit(float(total)) / F.col("n"))
-        for j, total in enumerate(totals.values())
+    e = F.col("in_value") * F.col("in_class").cast("double") / F.lit(n)
+    off = F.col("o") - e
+    by_value = observed.groupBy("feature", "value").agg(
+        F.sum(off * off / e).alias("seen"),
+        (F.first("in_value") * (F.lit(n) - F.sum("in_class")) / F.lit(float(n or 1))).alias("unseen"),
     )
-    return per_value.groupBy("feature").agg(
-        (F.lit(float(n)) * (F.sum(share) - 1)).alias("statistic"),
-        ((F.count("*") - 1) * F.lit(len(totals) - 1)).alias("dof"),
+    return by_value.groupBy("feature").agg(
+        F.sum(F.col("seen") + F.col("unseen")).alias("statistic"),
+        ((F.count("*") - 1) * F.lit(n_classes - 1)).alias("dof"),
     )
 
 
@@ -287,19 +281,21 @@ def chi_square_select(
 ) -> DataFrame:
     """Scores with p-values; ``selected`` marks the ``top`` smallest, an earlier column first in a tie.
 
-    One row per feature, so ranking them is left to the driver.
+    Ranked by the logarithm of the p-value, as p-values themselves are 0 for nearly every feature of a large
+    table. One row per feature, so ranking them is left to the driver.
     """
     scores = {r["feature"]: r for r in chi_square_scores(df, features, label).collect()}
 
-    def p_value(c: str) -> float:
-        r = scores[c]
-        return _upper_gamma_share(r["dof"] / 2, r["statistic"] / 2) if r["dof"] else 1.0
+    def log_p(c: str) -> float:
+        r = scores.get(c)
+        return log_upper_gamma_share(r["dof"] / 2, r["statistic"] / 2) if r and r["dof"] else 0.0
 
-    ranked = sorted(((p_value(c), i, c) for i, c in enumerate(features)))
+    ranked = sorted((log_p(c), i, c) for i, c in enumerate(features) if c in scores)
     rows = [
-        (c, scores[c]["statistic"], scores[c]["dof"], p, place < top)
+        (c, scores[c]["statistic"], scores[c]["dof"], math.exp(p), p, place < top)
         for place, (p, _, c) in enumerate(ranked)
     ]
     return df.sparkSession.createDataFrame(
-        rows, "feature string, statistic double, dof bigint, p_value double, selected boolean"
+        rows,
+        "feature string, statistic double, dof bigint, p_value double, log_p_value double, selected boolean",
     )

@@ -8,19 +8,14 @@ their number, so copies of a row cannot end up both in training and in testing.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rarefind.functions.hashing import HASH_BITS, long_hash, unit_hash
-from rarefind.operators.skew import (
-    heavy_keys,
-    key_struct,
-    match_keys,
-    repeat_rows,
-    split_heavy,
-)
+from rarefind.operators.skew import key_struct, match_keys, repeat_rows
+from rarefind.sources.scratch import stored
 
 SPLIT_SALT = "split:"
 FOLD_SALT = "fold:"
@@ -34,7 +29,6 @@ PUBLISHED_SPLIT_SEED = 24
 
 _DIGIT_BITS = 12
 _SMALL_BUCKET = 1 << 16
-_MAX_GROUPS = 1000
 
 
 def add_random_column(
@@ -106,23 +100,17 @@ def concat_rows(*parts: DataFrame) -> DataFrame:
     return whole
 
 
-def remainder_rows(
-    df: DataFrame, sample: DataFrame, keys: Sequence[str], heavy_min_rows: int = 1_000_000
-) -> DataFrame:
+def remainder_rows(df: DataFrame, sample: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``df`` whose key is not in ``sample``.
 
-    The sample's keys are made distinct before the join, so copies there cost one row. Keys that
-    hold a large share of ``df`` never enter the shuffle: they are few, and are matched by broadcast.
+    The sample's keys are made distinct before the join, so copies there cost one row. A key that holds a
+    large share of ``df`` makes one large partition of the left side, which adaptive execution splits. It
+    does so only where both sides are shuffled for the join itself, so the distinct keys are dealt out by
+    their hash as well.
     """
-    taken = sample.select(key_struct(keys).alias("_key")).distinct()
-    heavy = heavy_keys(df, keys, heavy_min_rows)
-    if heavy is None:
-        return match_keys(df, taken, keys, "left_anti")
-    dense, light = split_heavy(df, heavy, keys)
-    heavy_taken = taken.join(F.broadcast(heavy), "_key", "left_semi")
-    return match_keys(light, taken, keys, "left_anti").unionByName(
-        match_keys(dense, F.broadcast(heavy_taken), keys, "left_anti")
-    )
+    key = key_struct(keys).alias("_key")
+    taken = sample.select(key).select("_key", F.xxhash64("_key").alias("_h")).distinct().select("_key")
+    return match_keys(df, taken, keys, "left_anti")
 
 
 def shuffle_rows(
@@ -130,84 +118,80 @@ def shuffle_rows(
     keys: Sequence[str],
     salt: str = SHUFFLE_SALT,
     name: str = "_order",
-    heavy_min_rows: int = 1_000_000,
+    seed: int = 0,
 ) -> DataFrame:
-    """Rows in random order; the order is also kept as a column.
+    """Rows in random order; the order is also kept as a column, a hash of the key.
 
-    Spark sorts by sampled ranges of the order column. Rows of a heavy key would all fall into one
-    range, so those are counted as copies, spread out again and ordered by key, row and copy number.
+    Rows of one key are ordered by a hash of the whole row, and rows equal in every column by chance. Spark
+    sorts by sampled ranges of all three, so the rows of a key that is everywhere fill many ranges.
     """
-    heavy = heavy_keys(df, keys, heavy_min_rows)
-    if heavy is None:
-        return df.withColumn(name, long_hash(keys, salt)).orderBy(name)
-    dense, light = split_heavy(df, heavy, keys)
-    copies = repeat_rows(dense.groupBy(*df.columns).agg(F.count("*").alias("_n")), "_n", "_copy")
-    order = long_hash([*keys, F.to_json(F.struct(*df.columns)), "_copy"], salt)
-    return (
-        light.withColumn(name, long_hash(keys, salt))
-        .unionByName(copies.withColumn(name, order).drop("_copy"))
-        .orderBy(name)
-    )
-
-
-@dataclass(frozen=True)
-class _Cut:
-    """Rows with a hash below ``limit`` are in, and so are ``tied`` of the rows exactly at it."""
-
-    limit: int
-    tied: int = 0
-
-
-def _by_group(values: dict, otherwise) -> Column:
-    chosen = F.lit(otherwise)
-    for group, value in values.items():
-        value = value if isinstance(value, Column) else F.lit(value)
-        chosen = F.when(F.col("_group").eqNullSafe(F.lit(group)), value).otherwise(chosen)
-    return chosen
+    ordered = df.withColumn(name, long_hash(keys, salt))
+    return ordered.orderBy(name, F.xxhash64(*df.columns), F.rand(seed))
 
 
-def _find_cuts(hashed: DataFrame, target: Column) -> dict:
+def _find_cuts(hashed: DataFrame, target: Column) -> DataFrame:
     """Per group, where the rows with the smallest hashes stop, given how many are wanted.
 
-    Each round counts rows per 12-bit digit of the hash (at most 4,096 counts per group, summed
-    before the shuffle) and goes on inside the one digit that holds the cut; once that holds few
-    rows, the last round counts single hashes. Two rounds do for hundreds of millions of rows, three
-    for a trillion. Rows are never sorted or moved.
+    ``hashed`` has (_group, _hash); ``target`` is an expression over ``_total``, or over a column ``_take`` that
+    has the same value throughout a group. Returns (_cut_group, _limit,
+    _tied): rows with a hash below the limit are in, and so are ``_tied`` of the rows exactly at it. Groups
+    that want no rows are left out.
+
+    Each round counts rows per 12-bit digit of the hash (at most 4,096 counts per group, summed before the
+    shuffle) and goes on inside the one digit that holds the cut; once that holds few rows, the last round
+    counts single hashes. Two rounds do for hundreds of millions of rows, three for a trillion. Rows are
+    never sorted, and groups are rows of small tables, so their number has no limit.
     """
-    cuts: dict = {}
+    found: list[DataFrame] = []
     rows, wanted, shift = hashed, target, HASH_BITS - _DIGIT_BITS
+    if "_take" not in rows.columns:
+        rows = rows.withColumn("_take", F.lit(None).cast("bigint"))
+    group = Window.partitionBy("_group")
     while True:
-        bucket = F.shiftright("_hash", shift).alias("bucket")
-        counts = rows.groupBy("_group", bucket).agg(F.count("*").alias("n"))
-        group = Window.partitionBy("_group")
-        found = (
-            counts.withColumn("_total", F.sum("n").over(group))
-            .withColumn("wanted", wanted.cast("bigint"))
-            .withColumn("upto", F.sum("n").over(group.orderBy("bucket")))
-            .filter((F.col("upto") >= F.col("wanted")) & (F.col("upto") - F.col("n") < F.col("wanted")))
-            .limit(_MAX_GROUPS + 1)
-            .collect()
+        counts = rows.groupBy("_group", F.shiftright("_hash", shift).alias("_bucket")).agg(
+            F.count("*").alias("_n"), F.first("_take").alias("_take")
+        )
+        cut = (
+            counts.withColumn("_total", F.sum("_n").over(group))
+            .withColumn("_wanted", wanted.cast("bigint"))
+            .withColumn("_upto", F.sum("_n").over(group.orderBy("_bucket")))
+            .filter((F.col("_upto") >= F.col("_wanted")) & (F.col("_upto") - F.col("_n") < F.col("_wanted")))
+            .select(
+                F.col("_group").alias("_cut_group"),
+                "_bucket",
+                "_n",
+                (F.col("_wanted") - F.col("_upto") + F.col("_n")).alias("_open"),
+            )
+        )
+        cut = stored(cut, "cuts")
+        whole = F.col("_open") == F.col("_n")
+        limit = F.when(whole, F.call_function("shiftleft", F.col("_bucket") + 1, F.lit(shift))).otherwise(F.col("_bucket"))
+        tied = F.when(whole, F.lit(0)).otherwise(F.col("_open")).cast("bigint")
+        closed = cut if shift == 0 else cut.filter(whole)
+        found.append(closed.select("_cut_group", limit.alias("_limit"), tied.alias("_tied")))
+        largest = cut.filter(~whole).agg(F.max("_n")).first()[0]
+        if shift == 0 or largest is None:
+            return reduce(DataFrame.unionByName, found)
+        still_open = cut.filter(~whole).select("_cut_group", "_bucket", "_open")
+        inside = F.shiftright(F.col("_hash"), shift) == F.col("_bucket")
+        rows = (
+            hashed.join(still_open, F.col("_group").eqNullSafe(F.col("_cut_group")) & inside)
+            .select("_group", "_hash", F.col("_open").alias("_take"))
         )
-        if len(found) > _MAX_GROUPS:
-            raise ValueError(f"more than {_MAX_GROUPS} groups; is this column a class label?")
-        still_open = {}
-        for r in found:
-            take = r["wanted"] - (r["upto"] - r["n"])
-            if take == r["n"]:
-                cuts[r["_group"]] = _Cut((r["bucket"] + 1) << shift)
-            elif shift == 0:
-                cuts[r["_group"]] = _Cut(r["bucket"], take)
-            else:
-                still_open[r["_group"]] = (r["bucket"], take, r["n"])
-        if not still_open:
-            return cuts
-        inside = {g: F.shiftright("_hash", shift) == b for g, (b, _, _) in still_open.items()}
-        rows = hashed.filter(_by_group(inside, False))
-        wanted = _by_group({g: take for g, (_, take, _) in still_open.items()}, 0)
-        largest = max(n for _, _, n in still_open.values())
+        wanted = F.col("_take")
         shift = 0 if largest <= _SMALL_BUCKET else max(0, shift - _DIGIT_BITS)
 
 
+def _with_cuts(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Add the limit and the number of tied places of the row's group; 0 where the group has no cut.
+
+    The cuts have a row per group. Spark broadcasts them where they are small, and shuffles otherwise.
+    """
+    joined = rows.join(cuts, F.col("_group").eqNullSafe(F.col("_cut_group")), "left").drop("_cut_group")
+    zero = F.lit(0).cast("bigint")
+    return joined.withColumns({"_limit": F.coalesce("_limit", zero), "_tied": F.coalesce("_tied", zero)})
+
+
 def exact_split(
     df: DataFrame,
     keys: Sequence[str],
@@ -217,8 +201,9 @@ def exact_split(
 ) -> tuple[DataFrame, DataFrame]:
     """Exactly ``target`` rows per group, drawn by key hash, and all the other rows.
 
-    ``target`` is an expression over ``_total``, the group's row count. Both results are filters over
-    ``df``: the counting rounds read only the key and group columns, and no row is shuffled.
+    ``target`` is an expression over ``_total``, the group's row count. The counting rounds read only the key
+    and group columns. Both results are filters over ``df`` joined with a cut per group, which Spark
+    broadcasts unless groups are very many.
 
     Rows that share the key at the cut are told apart by a hash of the whole row. Rows that are
     equal in every column are interchangeable: they are counted, and the right number is written
@@ -228,34 +213,28 @@ def exact_split(
     group = F.col(by) if by else F.lit(0)
     hashed = df.select("*", group.alias("_group"), long_hash(keys, salt).alias("_hash"))
     cuts = _find_cuts(hashed.select("_group", "_hash"), target)
+    below = F.col("_hash") < F.col("_limit")
+    at = (F.col("_hash") == F.col("_limit")) & (F.col("_tied") > 0)
 
-    def below(cuts: dict) -> Column:
-        return _by_group({g: F.col("_hash") < c.limit for g, c in cuts.items()}, False)
-
-    def at(cuts: dict) -> Column:
-        return _by_group({g: F.col("_hash") == c.limit for g, c in cuts.items() if c.tied}, False)
-
-    def open_places(cuts: dict) -> Column:
-        return _by_group({g: c.tied for g, c in cuts.items()}, 0)
-
-    sample = hashed.filter(below(cuts)).select(*columns)
-    rest = hashed.filter(~below(cuts) & ~at(cuts)).select(*columns)
-    if not any(c.tied for c in cuts.values()):
+    marked = _with_cuts(hashed, cuts)
+    sample = marked.filter(below).select(*columns)
+    rest = marked.filter(~below & ~at).select(*columns)
+    if cuts.filter("_tied > 0").isEmpty():
         return sample, rest
 
     row_hash = long_hash([F.to_json(F.struct(*columns))], salt)
-    same_key = hashed.filter(at(cuts)).withColumn("_hash", row_hash)
-    row_cuts = _find_cuts(same_key.select("_group", "_hash"), open_places(cuts))
-    sample = sample.unionByName(same_key.filter(below(row_cuts)).select(*columns))
-    rest = rest.unionByName(same_key.filter(~below(row_cuts) & ~at(row_cuts)).select(*columns))
-    if not any(c.tied for c in row_cuts.values()):
+    same_key = marked.filter(at).withColumn("_hash", row_hash).withColumnRenamed("_tied", "_places").drop("_limit")
+    row_cuts = _find_cuts(same_key.select("_group", "_hash", F.col("_places").alias("_take")), F.col("_take"))
+    marked = _with_cuts(same_key, row_cuts)
+    sample = sample.unionByName(marked.filter(below).select(*columns))
+    rest = rest.unionByName(marked.filter(~below & ~at).select(*columns))
+    if row_cuts.filter("_tied > 0").isEmpty():
         return sample, rest
 
     copies = (
-        same_key.filter(at(row_cuts))
+        marked.filter(at)
         .groupBy("_group", *columns)
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_in", open_places(row_cuts))
+        .agg(F.count("*").alias("_n"), F.first("_tied").alias("_in"))
         .withColumn("_out", F.col("_n") - F.col("_in"))
     )
     return (

@@ -10,6 +10,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,6 +63,17 @@ class Moments:
         return df.select(*[scaled(c) if c in self.mean else F.col(f"`{c}`") for c in df.columns])
 
 
+    def stage(self) -> SQLTransformer:
+        """The same as a pipeline stage, into columns ``_z_<name>``, so that a saved model scales new rows."""
+
+        def scaled(c: str) -> str:
+            std = self.std[c]
+            centred = f"(`{c}` - {self.mean[c]!r}D)"
+            return f"{centred} / {std!r}D AS `_z_{c}`" if std else f"{centred} * 0D AS `_z_{c}`"
+
+        return SQLTransformer(statement=f"SELECT *, {', '.join(map(scaled, self.mean))} FROM __THIS__")
+
+
 def fit_moments(df: DataFrame, columns: Sequence[str]) -> Moments:
     """One pass over the named columns only."""
     row = df.agg(

@@ -1,4 +1,4 @@
-"""Even work per task: heavy keys, repeated rows, and the size of training partitions."""
+"""Even work per task: joins by key, repeated rows, and the size of training partitions."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_BUCKETS = 4096
-_SHARE = 1 / 1024
 _CHUNK = 100_000
 _MIN_TRAINING_ROWS = 5_000
 _MAX_TRAINING_ROWS = 500_000
@@ -24,29 +22,6 @@ def match_keys(df: DataFrame, found: DataFrame, keys: Sequence[str], how: str) -
     return df.join(found, key_struct(keys) == F.col("_key"), how)
 
 
-def heavy_keys(df: DataFrame, keys: Sequence[str], min_rows: int = 1_000_000) -> DataFrame | None:
-    """The keys (``_key``) with more than 1/1024 of all rows and more than ``min_rows``, or None.
-
-    There can be at most 1,023 of them, so the result may be broadcast whatever the table size. A
-    count per hash bucket (at most 4,096 rows, partial sums before the shuffle) comes first; only
-    buckets that stand out are counted by key.
-    """
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(_BUCKETS))
-    sizes = df.groupBy(bucket.alias("bucket")).count().collect()
-    limit = max(min_rows, int(sum(r["count"] for r in sizes) * _SHARE))
-    hot = [r["bucket"] for r in sizes if r["count"] > limit]
-    if not hot:
-        return None
-    counts = df.filter(bucket.isin(hot)).groupBy(key_struct(keys).alias("_key")).count()
-    return counts.filter(F.col("count") > limit).select("_key")
-
-
-def split_heavy(df: DataFrame, heavy: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows of the heavy keys, and all others. ``heavy`` comes from ``heavy_keys``."""
-    few = F.broadcast(heavy)
-    return match_keys(df, few, keys, "left_semi"), match_keys(df, few, keys, "left_anti")
-
-
 def repeat_rows(df: DataFrame, times: str, index: str | None = None) -> DataFrame:
     """Each row ``times`` over (the column is dropped), numbered from 0 in ``index`` if named.
 

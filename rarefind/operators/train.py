@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
     GBTClassifier,
     LinearSVC,
@@ -15,15 +16,15 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from rarefind.operators.aggregate import accuracy
-from rarefind.operators.skew import spread
+from rarefind.operators.skew import repeat_rows, spread
 from rarefind.sources.models import save_model
-from rarefind.sources.scratch import ensure_checkpoint_dir
+from rarefind.sources.scratch import ensure_checkpoint_dir, stored
 
 SEED = 24
 
@@ -102,21 +103,62 @@ def param_grid(estimator, values: dict[str, Sequence]) -> list[dict]:
 def repeat_by_weight(train: DataFrame, weight: str) -> DataFrame:
     """Each row as often as its rounded weight, for estimators that take no weights.
 
-    The copies are dealt out evenly, so that a task rich in the rare class gets no more work.
+    Counts are whole numbers of 64 bits. A row with very many copies is cut into chunks that are dealt out
+    before they are written out, and all copies are dealt evenly to training partitions.
     """
-    times = F.greatest(F.round(F.col(weight)).cast("int"), F.lit(0))
+    times = F.greatest(F.round(F.col(weight)).cast("bigint"), F.lit(0).cast("bigint"))
     total = train.agg(F.sum(times)).first()[0] or 0
-    copies = train.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times)))
-    return spread(copies.drop("_copy", weight), total)
+    return spread(repeat_rows(train.withColumn("_times", times).drop(weight), "_times"), total)
+
+
+def fit_stored(
+    pipeline: Pipeline, train: DataFrame, partitions: int | None = None
+) -> PipelineModel:
+    """Fit a pipeline whose last stage is the estimator, reading the source twice at most.
+
+    The stages before it are fitted first. Their output, reduced to label, features and weight, is written to the
+    shared folder, dealt into training partitions and held while the estimator makes its many passes.
+    ``partitions`` fixes how many there are: models depend on it, as bagging draws per partition. By
+    default it follows the number of rows and of cores.
+    """
+    *before, estimator = pipeline.getStages()
+    prepared = Pipeline(stages=before).fit(train)
+    ready = prepared.transform(train)
+    columns = [c for c in ("label", "features", "weight") if c in ready.columns]
+    rows = stored(ready.select(*columns), "training")
+    even = rows.repartition(partitions) if partitions else spread(rows, rows.count())
+    even = even.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = estimator.fit(even)
+    finally:
+        even.unpersist()
+    return PipelineModel(stages=[*prepared.stages, model])
 
 
 @dataclass
 class EarlyStopResult:
-    """``model`` is the first of the most accurate rounds, or None if none passed the floor."""
+    """``model`` is the first of the most accurate rounds, or None if none passed the floor.
+
+    ``history`` has the validation accuracy of each round, ``report`` also the training accuracy and the
+    costs on both sets: rows of ``EARLY_STOP_REPORT``.
+    """
 
     model: MultilayerPerceptronClassificationModel | None
     best_round: int | None
     history: list[float]
+    report: list[tuple]
+
+
+EARLY_STOP_REPORT = "round int, train_accuracy double, validation_accuracy double, train_cost double, validation_cost double"
+
+
+def _accuracy_and_cost(scored: DataFrame) -> tuple[float, float]:
+    """Share of right predictions and weighted cross entropy per unit of weight, in one pass."""
+    p = F.get(vector_to_array("probability"), F.col("label").cast("int"))
+    right = F.avg((F.col("prediction") == F.col("label")).cast("double"))
+    weight = F.col("weight") if "weight" in scored.columns else F.lit(1.0)
+    cost = F.sum(-weight * F.ln(F.greatest(p, F.lit(1e-12)))) / F.sum(weight)
+    return tuple(scored.agg(right, cost).first())
 
 
 def train_until_no_gain(
@@ -129,16 +171,19 @@ def train_until_no_gain(
     min_rounds: int = PUBLISHED_MIN_ROUNDS,
     floor: float = PUBLISHED_ACCURACY_FLOOR,
     save_to: str | None = None,
+    before: Sequence[Transformer] = (),
 ) -> EarlyStopResult:
     """Short fits that go on from each other's weights until validation accuracy stops rising.
 
     Stops after ``patience`` rounds in a row below the best accuracy so far, counted once past
     ``min_rounds``. A round above the floor that beats all before it is kept, and written to
-    ``save_to`` if given. The two sets are read from storage once and held for all rounds.
+    ``save_to`` if given: as a pipeline behind the stages in ``before``, so that the file alone scores new
+    rows. The two sets are read from storage once and held for all rounds.
     """
     train = train.select("label", "features").persist(StorageLevel.MEMORY_AND_DISK)
     validation = validation.select("label", "features").persist(StorageLevel.MEMORY_AND_DISK)
     history: list[float] = []
+    report: list[tuple] = []
     kept, kept_round, weights, behind = None, None, None, 0
     try:
         for round_number in range(max_rounds):
@@ -147,11 +192,13 @@ def train_until_no_gain(
                 step = step.copy({step.initialWeights: weights})
             model = step.fit(train)
             weights = model.weights
-            reached = accuracy(model.transform(validation)).first()["accuracy"]
+            on_train = _accuracy_and_cost(model.transform(train))
+            reached, cost = _accuracy_and_cost(model.transform(validation))
+            report.append((round_number, on_train[0], reached, on_train[1], cost))
             if reached > max(history, default=-1.0) and reached > floor:
                 kept, kept_round = model, round_number
                 if save_to:
-                    save_model(model, save_to)
+                    save_model(PipelineModel(stages=[*before, model]), save_to)
             history.append(reached)
             below_best = reached < max(history) and round_number > min_rounds
             behind = behind + 1 if below_best else 0
@@ -160,4 +207,4 @@ def train_until_no_gain(
     finally:
         train.unpersist()
         validation.unpersist()
-    return EarlyStopResult(kept, kept_round, history)
+    return EarlyStopResult(kept, kept_round, history, report)

@@ -5,16 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rarefind.operators.project import PUBLISHED_FLAGS
 from rarefind.sources.scratch import fresh_path
 
 HASH_KEYS = ["l_orderkey", "l_lineno", "l_partkey"]
 ROW_KEYS = [*HASH_KEYS, "l_suppkey"]
 KEY_TYPES = {"l_orderkey": "bigint", "l_lineno": "int", "l_partkey": "bigint", "l_suppkey": "bigint"}
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
-COMPONENTS = [f"V{i}" for i in range(1, 29)]
+COMPONENTS = [f"V{i}" for i in range(1, 65)]
+# The published table has 28 of them: what a slice or a drop by name picks from.
+PUBLISHED_COMPONENTS = COMPONENTS[:28]
 
 # Cuts that suit the embedding components, which lie within about 0.4 of zero.
 COMPONENT_FLAGS = [("V1", "<", -0.2), ("V2", ">", 0.2), ("V3", "<", -0.15), ("V4", ">", 0.1)]
+# The published cuts brought to the range of these components.
+STUDY_FLAGS = [(c, op, cut * 0.06) for c, op, cut in PUBLISHED_FLAGS]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,10 +74,10 @@ def txn_csv(spark: SparkSession, sf_dir: str) -> str:
 
 
 def pca(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signed components V1..V28 of the embeddings; the class is label 0 against all others."""
+    """Signed components V1..V64 of the embeddings; the class is label 0 against all others."""
     return table(spark, sf_dir, "embeddings").select(
         "vec_id",
-        *[F.col("embedding")[i].cast("double").alias(f"V{i + 1}") for i in range(28)],
+        *[F.col("embedding")[i].cast("double").alias(f"V{i + 1}") for i in range(64)],
         F.when(F.col("label") == 0, 1.0).otherwise(0.0).alias("Class"),
     )
 

@@ -3,8 +3,15 @@
 from __future__ import annotations
 
 from rarefind.operators.project import PUBLISHED_DROPPED, PUBLISHED_FLAGS
-from rarefind.plans.fixtures import COMPONENT_FLAGS, COMPONENTS, FEATURES, ROW_KEYS
-from rarefind.plans.queries import RULE_CUTS, RULE_FOLDS, RULE_RATES
+from rarefind.plans.fixtures import (
+    COMPONENT_FLAGS,
+    COMPONENTS,
+    FEATURES,
+    PUBLISHED_COMPONENTS,
+    ROW_KEYS,
+)
+from rarefind.operators.search import PUBLISHED_FOLDS, PUBLISHED_RATES
+from rarefind.plans.queries import GRID_RULES, RULE_CUTS, RULE_FOLDS, RULE_RATES
 
 _K = ", ".join(ROW_KEYS)
 _F = ", ".join(FEATURES)
@@ -141,10 +148,11 @@ FROM cells JOIN ranges USING (class, feature) GROUP BY ALL"""
 
 def _chi_square() -> str:
     cells = "\nUNION ALL\n".join(
-        f"SELECT '{c}' AS feature, floor({c}) AS v, Class AS y FROM txn" for c in FEATURES
+        f"SELECT '{c}' AS feature, {i} AS place, floor({c}) AS v, Class AS y FROM pca"
+        for i, c in enumerate(COMPONENTS)
     )
     return _with(
-        _TXN,
+        _PCA,
         f"cells AS (\n{cells})",
         "observed AS (SELECT feature, v, y, count(*) AS o FROM cells GROUP BY ALL)",
         "by_value AS (SELECT feature, v, count(*) AS r FROM cells GROUP BY ALL)",
@@ -154,9 +162,47 @@ def _chi_square() -> str:
   SELECT feature, v, y, r * CAST(c AS double) / n AS e, coalesce(o, 0) AS o
   FROM by_value JOIN by_class USING (feature) JOIN sizes USING (feature)
   LEFT JOIN observed USING (feature, v, y))""",
-    ) + """SELECT feature, round(sum((o - e) * (o - e) / e), 4) AS statistic,
-       CAST((count(DISTINCT v) - 1) * (count(DISTINCT y) - 1) AS bigint) AS dof, true AS selected
-FROM terms GROUP BY feature"""
+        """scores AS (
+  SELECT feature, sum((o - e) * (o - e) / e) AS statistic,
+         CAST((count(DISTINCT v) - 1) * (count(DISTINCT y) - 1) AS bigint) AS dof
+  FROM terms GROUP BY feature)""",
+    ) + """SELECT feature, round(statistic, 4) AS statistic, dof,
+       row_number() OVER (ORDER BY round(statistic, 9) DESC, place) <= 30 AS selected
+FROM scores JOIN (SELECT DISTINCT feature, place FROM cells) USING (feature)"""
+
+
+def _rule_grid() -> str:
+    rules = ", ".join(f"({i}, {q}, {d})" for i, (q, d) in enumerate(GRID_RULES))
+    rates = ", ".join(f"({i}, CAST({r} AS double))" for i, r in enumerate(PUBLISHED_RATES))
+    folded = _FOLDED.replace(f"* {RULE_FOLDS}", f"* {PUBLISHED_FOLDS}")
+    hit = "(l_quantity >= q AND l_discount >= d AND (Class = 1 OR u < rate))"
+    trials = f"""trials AS (
+  SELECT CAST(k * {len(GRID_RULES)} + j AS int) AS trial, rate, CAST(j AS int) AS grid_id, fold,
+         CAST(count(*) FILTER ({hit} AND Class = 1) AS bigint) AS tp,
+         CAST(count(*) FILTER ({hit} AND Class = 0) AS bigint) AS fp,
+         CAST(count(*) FILTER (NOT {hit} AND Class = 1 ) AS bigint) AS fn
+  FROM folded, (VALUES {rules}) AS rules(j, q, d), (VALUES {rates}) AS rates(k, rate)
+  GROUP BY ALL)"""
+    return f"{_with(_TXN, folded, trials, _METRICS)}SELECT * REPLACE (round(metric, 6) AS metric) FROM metrics"
+
+
+def _network_report() -> str:
+    def ranked(name: str, source: str, salt: str, by: str) -> str:
+        order = f"CAST('0x' || substr(md5('{salt}' || vec_id), 1, 15) AS bigint), vec_id"
+        return (
+            f"{name} AS (SELECT *, row_number() OVER ({by} ORDER BY {order}) AS rn, "
+            f"count(*) OVER ({by}) AS n FROM {source})"
+        )
+
+    return _with(
+        "rows AS (SELECT vec_id, CAST(CASE WHEN label = 0 THEN 1 ELSE 0 END AS double) AS Class FROM embeddings)",
+        ranked("sampled", "rows", "sample:", "PARTITION BY Class"),
+        "held_out AS (SELECT vec_id, Class FROM sampled WHERE rn > round(0.8 * n))",
+        ranked("halves", "held_out", "shuffle:", ""),
+    ) + """SELECT 'train' AS part, Class AS label, CAST(count(*) AS bigint) AS n, true AS report_ok
+FROM sampled WHERE rn <= round(0.8 * n) GROUP BY Class
+UNION ALL
+SELECT 'test', Class, CAST(count(*) AS bigint), true FROM halves WHERE rn > n // 2 GROUP BY Class"""
 
 
 def _vector_index() -> str:
@@ -210,7 +256,7 @@ _SQL = {
     "floor_discretize": _with(_PCA)
     + f"SELECT vec_id, {', '.join(f'floor({c}) AS {c}' for c in COMPONENTS)}, Class FROM pca",
     "drop_columns": f"{_with(_PCA)}SELECT * EXCLUDE ({', '.join(PUBLISHED_DROPPED)}) FROM pca",
-    "slice_columns": f"{_with(_PCA)}SELECT {', '.join(COMPONENTS)} FROM pca",
+    "slice_columns": f"{_with(_PCA)}SELECT {', '.join(PUBLISHED_COMPONENTS)} FROM pca",
     "rename_column": f"{_with(_TXN)}SELECT {_K}, Class AS Fraud FROM txn",
     "threshold_flags": _with(_PCA)
     + f"SELECT *, {_flags(COMPONENT_FLAGS, '_')}, {_flags(PUBLISHED_FLAGS, '_published')} FROM pca",
@@ -253,6 +299,7 @@ SELECT rate, grid_id, round(sum(metric), 6) AS metric FROM metrics GROUP BY rate
     "best_trial": f"""{_with(_TXN, _FOLDED, _TRIALS, _METRICS)}
 SELECT rate, grid_id, round(sum(metric), 6) AS metric, trial FROM metrics GROUP BY rate, grid_id, trial
 ORDER BY sum(metric) DESC, trial LIMIT 1""",
+    "rule_grid": _rule_grid(),
     "f1_by_class": f"""{_with(_TXN, _SCORED)}
 SELECT c AS class, round(2.0 * count(*) FILTER (label = c AND prediction = c)
        / (count(*) FILTER (label = c) + count(*) FILTER (prediction = c)), 6) AS f1
@@ -303,6 +350,9 @@ FROM halves WHERE rn > n // 2 GROUP BY Class""",
         "AS predictions_ok", "AS predictions_ok, true AS probabilities_ok"
     ),
     "save_load_model": _support("same_scores"),
+    "save_load_network": f"""{_with(_TXN)}
+SELECT Class AS label, CAST(count(*) AS bigint) AS n, true AS same_scores FROM txn GROUP BY Class""",
+    "network_report": _network_report(),
     "score_linear": f"""{_with(_TXN)}SELECT {_K}, Class AS label,
        CAST(CASE WHEN -67.5 + l_quantity * 1.0 + l_discount * 250.0 + l_tax * (-1.0) > 0 THEN 1 ELSE 0 END AS double)
        AS prediction FROM txn""",

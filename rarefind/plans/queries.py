@@ -12,7 +12,6 @@ from rarefind.functions.hashing import unit_hash
 from rarefind.functions.metrics import PUBLISHED_FP_SCALE
 from rarefind.operators import aggregate as agg
 from rarefind.operators import clean, features, project, sample, scale, score, search, train
-from rarefind.operators.skew import spread
 from rarefind.plans import fixtures as fx
 from rarefind.plans.reports import clean_csv, fraud_report, network_study
 from rarefind.sources.delimited import drop_header_rows, read_raw_csv, read_typed_csv
@@ -300,6 +299,22 @@ def best_trial(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agg.best_trial(summed).withColumn("metric", _round("metric"))
 
 
+# As many rules as the published forest grid has parameter maps, for all its rates and folds.
+GRID_RULES = [(q, d) for q in range(38, 50) for d in (0.05, 0.06, 0.07, 0.08, 0.09, 0.1)]
+
+
+@_query
+def rule_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.txn(spark, sf_dir).withColumn("label", F.col("Class"))
+    trials = search.rule_trials(
+        sample.assign_folds(rows, search.PUBLISHED_FOLDS, fx.HASH_KEYS),
+        [(F.col("l_quantity") >= q) & (F.col("l_discount") >= d) for q, d in GRID_RULES],
+        search.PUBLISHED_RATES,
+        unit_hash(fx.HASH_KEYS, sample.UNDERSAMPLE_SALT),
+    )
+    return trials.withColumn("metric", _round("metric"))
+
+
 @_query
 def f1_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agg.f1_by_class(_pairs(spark, sf_dir)).withColumn("f1", _round("f1"))
@@ -348,8 +363,8 @@ def class_histogram_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def chi_square_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = clean.floor_discretize(fx.txn(spark, sf_dir), fx.FEATURES)
-    chosen = agg.chi_square_select(rows, fx.FEATURES)
+    rows = clean.floor_discretize(fx.pca(spark, sf_dir), fx.COMPONENTS)
+    chosen = agg.chi_square_select(rows, fx.COMPONENTS)
     return chosen.select("feature", _round("statistic", 4).alias("statistic"), "dof", "selected")
 
 
@@ -408,8 +423,7 @@ def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def _fitted(estimator, train_rows: DataFrame, rate: float | None = None):
     if rate is not None:
         train_rows = sample.undersample_negatives(train_rows, rate, fx.HASH_KEYS)
-    even = spread(train_rows, train_rows.count())
-    return features.feature_pipeline(fx.FEATURES, estimator).fit(even)
+    return train.fit_stored(features.feature_pipeline(fx.FEATURES, estimator), train_rows)
 
 
 @_query
@@ -483,8 +497,8 @@ def tune_imbalanced(spark: SparkSession, sf_dir: str) -> DataFrame:
         train_rows,
         forest,
         train.param_grid(forest, {"maxDepth": [2, 6], "numTrees": [10]}),
-        [0.05, 0.2],
-        3,
+        search.PUBLISHED_RATES,
+        search.PUBLISHED_LIBRARY_FOLDS,
         keys=fx.HASH_KEYS,
         features=fx.FEATURES,
     )
@@ -518,6 +532,51 @@ def save_load_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("label").agg(F.count("*").alias("n"), F.bool_and(same).alias("same_scores"))
 
 
+@_query
+def save_load_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Early stopping keeps a pipeline in a file; the file alone scores rows as the study did."""
+    path = fresh_path(spark, "network")
+    rows = fx.txn(spark, sf_dir)
+    study = network_study(
+        rows, _KEYS, round_iters=10, max_rounds=2, min_rounds=0, patience=2, floor=0.5, save_to=path
+    )
+    before = study.pipeline.transform(rows).select("label", "features", F.col("probability").alias("p_before"))
+    both = load_model(path).stages[-1].transform(before)
+    same = F.col("probability") == F.col("p_before")
+    return both.groupBy("label").agg(F.count("*").alias("n"), F.bool_and(same).alias("same_scores"))
+
+
+@_query
+def network_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The published study on signed components: dropped columns, flags, weights, z-scores, network, reports.
+
+    Row counts of both confusion matrices by label, and whether the reports hold together: the costs of every
+    round are numbers, training lowers its cost, and the matrices and F1 cover both classes.
+    """
+    study = network_study(
+        fx.pca(spark, sf_dir),
+        ["vec_id"],
+        fx.STUDY_FLAGS,
+        drop=project.PUBLISHED_DROPPED,
+        fit_on="all",
+        round_iters=15,
+        max_rounds=4,
+        min_rounds=1,
+        patience=2,
+        floor=0.0,
+    )
+    rounds = spark.createDataFrame(study.training.report, train.EARLY_STOP_REPORT)
+    finite = F.bool_and(~F.isnan("train_cost") & ~F.isnan("validation_cost")).alias("finite")
+    costs = rounds.agg(finite, F.max_by("train_cost", "round") <= F.min_by("train_cost", "round")).first()
+    parts = []
+    for name, scored in (("train", study.train_scored), ("test", study.scored)):
+        classes = agg.f1_by_class(scored).filter("f1 IS NULL OR f1 BETWEEN 0 AND 1").count()
+        ok = all(costs) and classes == 2
+        matrix = agg.confusion_matrix(scored).groupBy("label").agg(F.sum("n").alias("n"))
+        parts.append(matrix.select(F.lit(name).alias("part"), "label", "n", F.lit(ok).alias("report_ok")))
+    return parts[0].unionByName(parts[1])
+
+
 @_query
 def score_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = {"l_quantity": 1.0, "l_discount": 250.0, "l_tax": -1.0}

@@ -5,20 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Estimator
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml import Estimator, PipelineModel
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rarefind.operators.aggregate import confusion_matrix
 from rarefind.operators.clean import clean
-from rarefind.operators.features import assemble, score
+from rarefind.operators.features import score
 from rarefind.operators.project import threshold_flags
 from rarefind.operators.sample import (
     exact_fraction_sample,
     half_split,
     random_split,
 )
-from rarefind.operators.scale import positive_weight, zscore
+from rarefind.operators.scale import fit_moments, positive_weight
 from rarefind.operators.search import (
     PUBLISHED_SMALL_FOLDS,
     PUBLISHED_SMALL_RATES,
@@ -35,7 +36,7 @@ from rarefind.operators.train import (
     train_until_no_gain,
 )
 from rarefind.sources.delimited import read_raw_csv
-from rarefind.sources.scratch import fresh_path
+from rarefind.sources.scratch import fresh_path, stored
 
 
 @dataclass
@@ -47,6 +48,12 @@ class FraudReport:
     matrix: DataFrame
 
 
+def _key_number(key: str) -> Column:
+    """The key as a whole number; a missing or bad one stops the job, as one bad value elsewhere does."""
+    missing = F.raise_error(F.lit(f"a row has no {key}")).cast("bigint")
+    return F.coalesce(F.col(key).cast("bigint"), missing)
+
+
 def clean_csv(
     spark: SparkSession, path: str, keys: Sequence[str], drop: Sequence[str] = ()
 ) -> DataFrame:
@@ -58,7 +65,7 @@ def clean_csv(
     raw = read_raw_csv(spark, path).drop(*drop)
     numbers = clean(raw, [c for c in raw.columns if c not in set(keys)])
     table = fresh_path(spark, "clean")
-    numbers.withColumns({k: F.col(k).cast("bigint") for k in keys}).write.parquet(table)
+    numbers.withColumns({k: _key_number(k) for k in keys}).write.parquet(table)
     return spark.read.parquet(table)
 
 
@@ -95,9 +102,11 @@ def fraud_report(
 
 @dataclass
 class NetworkStudy:
-    """Early-stopping outcome and the scored test half."""
+    """Early-stopping outcome, the kept pipeline, and the rows it scored: training rows and the test half."""
 
     training: EarlyStopResult
+    pipeline: PipelineModel
+    train_scored: DataFrame
     scored: DataFrame
 
 
@@ -116,17 +125,23 @@ def network_study(
     """Flags, an exact share of each class for training, weights, z-scores, network, held-out halves.
 
     The rows outside the training sample are halved: one half steers early stopping, the other is
-    scored with the kept weights.
+    scored with the kept weights. The prepared source is stored once, and every later pass reads that table.
     """
     data = threshold_flags(data.drop(*drop), flags) if flags else data.drop(*drop)
+    data = stored(data, "study")
     features = [c for c in data.columns if c not in {*keys, label}]
     train, held_out = exact_fraction_sample(data, train_fraction, keys, label)
-    weight = positive_weight(train, label)
-    train, held_out = zscore(train, held_out, features, fit_on)
     validation, test = half_split(held_out, keys)
+    weight = positive_weight(train, label)
+    moments = fit_moments(train if fit_on == "train" else train.unionByName(held_out), features)
+    before = [
+        moments.stage(),
+        SQLTransformer(statement=f"SELECT *, CAST(`{label}` AS DOUBLE) AS label FROM __THIS__"),
+        VectorAssembler(inputCols=[f"_z_{c}" for c in features], outputCol="features"),
+    ]
 
     def vectors(df: DataFrame) -> DataFrame:
-        return assemble(df, features, "features").withColumn("label", F.col(label).cast("double"))
+        return PipelineModel(stages=before).transform(df).drop(*[f"_z_{c}" for c in features])
 
     weighted = train.withColumn("weight", F.when(F.col(label) == 1, weight).otherwise(1.0))
     result = train_until_no_gain(
@@ -134,8 +149,14 @@ def network_study(
         vectors(validation),
         multilayer_perceptron(len(features)),
         save_to=save_to,
+        before=before,
         **stopping,
     )
     if result.model is None:
         raise RuntimeError(f"no round passed the accuracy floor; reached {max(result.history):.4f}")
-    return NetworkStudy(result, result.model.transform(vectors(test)))
+    return NetworkStudy(
+        result,
+        PipelineModel(stages=[*before, result.model]),
+        result.model.transform(vectors(train)),
+        result.model.transform(vectors(test)),
+    )

@@ -1,14 +1,18 @@
-"""Saving fitted pipelines and reading them back."""
+"""Saving fitted models and reading them back."""
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
+from pyspark.ml import Model
+from pyspark.ml.util import DefaultParamsReader, MLWritable
+from pyspark.sql import SparkSession
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    """Write the model, replacing what is at the path."""
+def save_model(model: Model | MLWritable, path: str) -> None:
+    """Write a fitted pipeline or a single fitted stage, replacing what is at the path."""
     model.write().overwrite().save(path)
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(path: str) -> Model:
+    """Whatever ``save_model`` wrote; the stored metadata names its class."""
+    spark = SparkSession.active()
+    return DefaultParamsReader.loadParamsInstance(path, spark)

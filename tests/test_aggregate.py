@@ -122,13 +122,35 @@ def test_chi_square_agrees_with_spark(spark):
     for feature, theirs in zip(features, spark_scores):
         assert ours[feature]["statistic"] == pytest.approx(theirs["statistic"])
         assert ours[feature]["dof"] == theirs["degreesOfFreedom"]
-        p = agg._upper_gamma_share(ours[feature]["dof"] / 2, ours[feature]["statistic"] / 2)
+        p = math.exp(agg.log_upper_gamma_share(ours[feature]["dof"] / 2, ours[feature]["statistic"] / 2))
         assert p == pytest.approx(theirs["pValue"], abs=1e-12)
     by_p = sorted(range(3), key=lambda i: spark_scores[i]["pValue"])
     chosen = agg.chi_square_select(df, features, top=2).filter("selected").collect()
     assert {r["feature"] for r in chosen} == {features[i] for i in by_p[:2]}
 
 
-def test_too_many_classes_are_refused(spark):
-    with pytest.raises(ValueError):
-        agg.class_histogram(spark.range(2000).selectExpr("id as Class", "1D as a"), ["a"])
+def test_very_many_classes(spark):
+    rows = spark.range(20_000).select((F.col("id") % 5000).alias("Class"), (F.col("id") / 10).alias("x"))
+    histogram = agg.class_histogram(rows, ["x"])
+    assert histogram.agg(F.sum("n"), F.count_distinct("class")).first() == (20_000, 5000)
+    scored = agg.chi_square_select(rows.withColumn("x", F.col("x") % 3), ["x"])
+    assert scored.first()["dof"] > 4999
+
+
+def test_chi_square_ranks_beyond_the_smallest_double(spark):
+    """Both p-values are 0 as doubles; the stronger feature still comes first."""
+    y = F.col("id") % 2
+    strong = spark.range(60_000).select(
+        y.cast("double").alias("Class"), F.when(F.col("id") % 10 < 8, y).otherwise(0).alias("weak"), y.alias("full")
+    )
+    found = {r["feature"]: r for r in agg.chi_square_select(strong, ["weak", "full"], top=1).collect()}
+    assert found["full"]["p_value"] == found["weak"]["p_value"] == 0
+    assert found["full"]["log_p_value"] < found["weak"]["log_p_value"] < -1000
+    assert found["full"]["selected"] and not found["weak"]["selected"]
+    assert found["full"]["statistic"] == pytest.approx(60_000)
+
+
+def test_histogram_leaves_out_infinite_values(spark):
+    rows = [(0.0, x) for x in (0.0, 1.0, 2.0, float("inf"), float("-inf"), float("nan"), None)]
+    found = agg.class_histogram(spark.createDataFrame(rows, "Class double, x double"), ["x"], bins=2)
+    assert sorted((r["bin"], r["n"]) for r in found.collect()) == [(0, 1), (1, 2)]

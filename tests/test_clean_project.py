@@ -7,6 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from rarefind.operators import clean, project, scale
+from rarefind.plans.reports import clean_csv
 from rarefind.sources import scratch
 from rarefind.sources.delimited import (
     drop_header_rows,
@@ -145,3 +146,42 @@ def test_shared_folder_follows_the_session(spark):
     Context.folder = "/set/by/hand"
     assert scratch.shared_folder(Cluster()) == "/set/by/hand"
     assert scratch.shared_folder(spark) == scratch.shared_folder(spark)
+
+
+def _csv(tmp_path, *files):
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    for i, text in enumerate(files):
+        (folder / f"{i}.csv").write_text(text)
+    return str(folder)
+
+
+GOOD = '"id","V1","V2"\n1,2,3\n'
+
+
+@pytest.mark.parametrize("bad", ["4,5,6,7\n", "4,5\n"])
+def test_lines_of_another_length_stop_every_read(spark, tmp_path, bad):
+    path = _csv(tmp_path, GOOD + bad)
+    for read in (read_raw_csv, read_typed_csv):
+        with pytest.raises(Exception, match="MALFORMED|malformed|FAILFAST"):
+            read(spark, path).drop("V2").collect()
+        with pytest.raises(Exception, match="MALFORMED|malformed|FAILFAST"):
+            read(spark, path).count()
+
+
+def test_swapped_headers_stop_the_read(spark, tmp_path):
+    path = _csv(tmp_path, GOOD, '"id","V2","V1"\n1,3,2\n')
+    for columns in (["id", "V1", "V2"], ["V1"]):
+        with pytest.raises(Exception, match="header"):
+            read_raw_csv(spark, path).select(*columns).collect()
+
+
+def test_good_files_read_with_plain_names(spark, tmp_path):
+    path = _csv(tmp_path, GOOD, GOOD)
+    assert read_raw_csv(spark, path).collect() == [("1", "2", "3")] * 2
+    assert read_typed_csv(spark, path).select("V1").collect() == [(2.0,)] * 2
+
+
+def test_missing_key_stops_the_cleaning(spark, tmp_path):
+    with pytest.raises(Exception, match="no id|CAST_INVALID"):
+        clean_csv(spark, _csv(tmp_path, GOOD + ",5,6\n"), ["id"])

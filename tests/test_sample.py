@@ -105,21 +105,48 @@ def test_cut_search_over_several_rounds(spark, monkeypatch):
         F.pmod(F.xxhash64("id"), F.lit(1 << 24)).alias("_hash"),
     )
     cuts = _find_cuts(hashed, F.floor(F.col("_total") * 0.37))
-    for group, cut in cuts.items():
-        values = sorted(r["_hash"] for r in hashed.filter(F.col("_group") == group).collect())
-        below = sum(v < cut.limit for v in values)
-        assert below + cut.tied == 3700
+    for cut in cuts.collect():
+        values = [r["_hash"] for r in hashed.filter(F.col("_group") == cut["_cut_group"]).collect()]
+        assert sum(v < cut["_limit"] for v in values) + cut["_tied"] == 3700
+
+
+def test_exact_sample_of_very_many_classes(spark):
+    rows = spark.range(20_000).select("id", (F.col("id") % 5000).alias("Class"))
+    taken, rest = sample.exact_fraction_sample(rows, 0.5, ["id"])
+    assert taken.groupBy("Class").count().select("count").distinct().collect() == [(2,)]
+    assert rest.count() == 10_000
 
 
 def test_remainder_is_the_rest(skewed):
     taken = skewed.filter("k is null or k = 7 or k % 5 = 0")
     expected = _rows(skewed.filter("not (k is null or k = 7 or k % 5 = 0)"))
     assert _rows(sample.remainder_rows(skewed, taken, ["k"])) == expected
-    assert _rows(sample.remainder_rows(skewed, taken, ["k"], heavy_min_rows=50)) == expected
-    kept = _rows(sample.remainder_rows(skewed, taken.filter("k != 7"), ["k"], heavy_min_rows=50))
+    kept = _rows(sample.remainder_rows(skewed, taken.filter("k != 7"), ["k"]))
     assert sum(n for row, n in kept.items() if row[0] == 7) == 1000
 
 
+def test_remainder_splits_a_heavy_key(spark):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        # Keys of their own for half of the rows; one key for the other half.
+        key = F.when(F.col("id") % 2 == 0, F.lit(-1)).otherwise(F.col("id"))
+        rows = spark.range(0, 200_000, numPartitions=16).select(key.alias("k"), F.md5(F.col("id").cast("string")).alias("v"))
+        left = sample.remainder_rows(rows, rows.filter("k BETWEEN 1 AND 999"), ["k"])
+        assert len(left.collect()) == 200_000 - 500
+        assert "skew=true" in left._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_remainder_shuffles_each_side_once(lines, spark):
     taken = lines.filter("Class = 1")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
@@ -128,24 +155,28 @@ def test_remainder_shuffles_each_side_once(lines, spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     physical = plan[plan.index("== Physical Plan ==") :]
-    assert physical.count("Exchange hashpartitioning") == 2
+    assert physical.count("Exchange hashpartitioning") == 3
     assert "SortMergeJoin" in physical
 
 
-def test_heavy_keys_finds_only_heavy_ones(skewed):
-    heavy = skew.heavy_keys(skewed, ["k"], min_rows=50)
-    assert [r["_key"]["k"] for r in heavy.collect()] == [7]
-    assert skew.heavy_keys(skewed, ["k"]) is None
+def test_shuffle_order_depends_on_the_key_alone(skewed):
+    plain = sample.shuffle_rows(skewed.filter("k IS NULL OR k != 7"), ["k"])
+    more = sample.shuffle_rows(skewed, ["k"])
+    assert _rows(more.drop("_order")) == _rows(skewed)
+    assert _rows(more.filter("k IS NULL OR k != 7")) == _rows(plain)
+    assert more.filter("k = 7").select("_order").distinct().count() == 1
+    orders = [r["_order"] for r in more.collect()]
+    assert orders == sorted(orders)
 
 
-def test_shuffle_keeps_rows_and_spreads_copies(skewed):
-    plain = sample.shuffle_rows(skewed, ["k"])
-    assert _rows(plain.drop("_order")) == _rows(skewed)
-    spread = sample.shuffle_rows(skewed, ["k"], heavy_min_rows=50)
-    assert _rows(spread.drop("_order")) == _rows(skewed)
-    assert spread.filter("k = 7").select("_order").distinct().count() == 1000
-    orders = [r["_order"] for r in spread.collect()]
-    assert orders == sorted(orders)
+def test_shuffle_spreads_a_heavy_key(spark):
+    rows = spark.range(0, 100_000).select(F.lit(1).alias("k"), "id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = sample.shuffle_rows(rows, ["k"]).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 1 and max(r["count"] for r in sizes) < 50_000
 
 
 def test_repeat_rows(spark, monkeypatch):
