@@ -182,11 +182,15 @@ def _find_cuts(hashed: DataFrame, target: Column) -> DataFrame:
         shift = 0 if largest <= _SMALL_BUCKET else max(0, shift - _DIGIT_BITS)
 
 
-def _with_cuts(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+def _with_cuts(rows: DataFrame, cuts: DataFrame, grouped: bool) -> DataFrame:
     """Add the limit and the number of tied places of the row's group; 0 where the group has no cut.
 
-    The cuts have a row per group. Spark broadcasts them where they are small, and shuffles otherwise.
+    The cuts have a row per group. Spark broadcasts them where they are small, and shuffles otherwise. Without
+    groups there is one cut, which becomes a literal.
     """
+    if not grouped:
+        limit, tied = cuts.select("_limit", "_tied").first() or (0, 0)
+        return rows.withColumns({"_limit": F.lit(limit).cast("bigint"), "_tied": F.lit(tied).cast("bigint")})
     joined = rows.join(cuts, F.col("_group").eqNullSafe(F.col("_cut_group")), "left").drop("_cut_group")
     zero = F.lit(0).cast("bigint")
     return joined.withColumns({"_limit": F.coalesce("_limit", zero), "_tied": F.coalesce("_tied", zero)})
@@ -216,7 +220,7 @@ def exact_split(
     below = F.col("_hash") < F.col("_limit")
     at = (F.col("_hash") == F.col("_limit")) & (F.col("_tied") > 0)
 
-    marked = _with_cuts(hashed, cuts)
+    marked = _with_cuts(hashed, cuts, bool(by))
     sample = marked.filter(below).select(*columns)
     rest = marked.filter(~below & ~at).select(*columns)
     if cuts.filter("_tied > 0").isEmpty():
@@ -225,7 +229,7 @@ def exact_split(
     row_hash = long_hash([F.to_json(F.struct(*columns))], salt)
     same_key = marked.filter(at).withColumn("_hash", row_hash).withColumnRenamed("_tied", "_places").drop("_limit")
     row_cuts = _find_cuts(same_key.select("_group", "_hash", F.col("_places").alias("_take")), F.col("_take"))
-    marked = _with_cuts(same_key, row_cuts)
+    marked = _with_cuts(same_key, row_cuts, bool(by))
     sample = sample.unionByName(marked.filter(below).select(*columns))
     rest = rest.unionByName(marked.filter(~below & ~at).select(*columns))
     if row_cuts.filter("_tied > 0").isEmpty():

@@ -152,12 +152,16 @@ class EarlyStopResult:
 EARLY_STOP_REPORT = "round int, train_accuracy double, validation_accuracy double, train_cost double, validation_cost double"
 
 
-def _accuracy_and_cost(scored: DataFrame) -> tuple[float, float]:
-    """Share of right predictions and weighted cross entropy per unit of weight, in one pass."""
-    p = F.get(vector_to_array("probability"), F.col("label").cast("int"))
+def _accuracy_and_cost(scored: DataFrame) -> tuple[float, float | None]:
+    """Share of right predictions and mean cross entropy, in one pass; no cost without probabilities.
+
+    Rows repeated by weight are here as often as they weigh, so the cost is the weighted one.
+    """
     right = F.avg((F.col("prediction") == F.col("label")).cast("double"))
-    weight = F.col("weight") if "weight" in scored.columns else F.lit(1.0)
-    cost = F.sum(-weight * F.ln(F.greatest(p, F.lit(1e-12)))) / F.sum(weight)
+    cost = F.lit(None).cast("double")
+    if "probability" in scored.columns:
+        p = F.get(vector_to_array("probability"), F.col("label").cast("int"))
+        cost = F.avg(-F.ln(F.greatest(p, F.lit(1e-12))))
     return tuple(scored.agg(right, cost).first())
 
 

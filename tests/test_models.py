@@ -17,7 +17,7 @@ from rarefind.operators import features, sample, score, search, train
 from rarefind.operators.skew import spread
 from rarefind.plans import fixtures as fx
 from rarefind.plans.reports import network_study
-from rarefind.sources.models import load_model
+from rarefind.sources.models import load_model, save_model
 
 
 @pytest.fixture(scope="module")
@@ -94,6 +94,21 @@ def test_boosting_stops_early_on_validation_rows(spark, lines):
     assert model.stages[-1].getNumTrees < 12
 
 
+def test_repeat_by_very_large_weights(spark):
+    df = spark.createDataFrame([(1.0, 3e9)], "label double, weight double")
+    with pytest.MonkeyPatch.context() as patch:
+        seen = []
+        patch.setattr(train, "spread", lambda rows, n: seen.append(n) or rows)
+        patch.setattr(train, "repeat_rows", lambda rows, times: rows)
+        assert train.repeat_by_weight(df, "weight").first()["_times"] == 3_000_000_000
+        assert seen == [3_000_000_000]
+    many = spark.createDataFrame([(1.0, 1e6)], "label double, weight double")
+    copies = train.repeat_by_weight(many, "weight")
+    assert copies.count() == 1_000_000
+    sizes = copies.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) > 1 and max(r["count"] for r in sizes) < 500_000
+
+
 def test_repeat_by_weight(spark):
     df = spark.createDataFrame([("a", 2.6), ("b", 1.0), ("c", 0.2)], "v string, weight double")
     out = train.repeat_by_weight(df, "weight")
@@ -168,8 +183,16 @@ def test_network_study_saves_the_kept_model(lines, tmp_path):
         lines, fx.ROW_KEYS, [("l_quantity", ">", 45.0)], save_to=path,
         round_iters=10, max_rounds=2, floor=0.5,
     )
-    kept = MultilayerPerceptronClassificationModel.load(path)
-    assert kept.weights == study.training.model.weights
+    kept = load_model(path)
+    assert kept.stages[-1].weights == study.training.model.weights
+    again = kept.transform(lines.withColumn("l_quantity_", (F.col("l_quantity") > 45).cast("int")))
+    ours = study.pipeline.transform(lines.withColumn("l_quantity_", (F.col("l_quantity") > 45).cast("int")))
+    columns = [*fx.ROW_KEYS, "prediction"]
+    assert sorted(again.select(*columns).collect()) == sorted(ours.select(*columns).collect())
+    assert len(study.training.report) == len(study.training.history)
+    single = str(tmp_path / "single")
+    save_model(study.training.model, single)
+    assert isinstance(load_model(single), MultilayerPerceptronClassificationModel)
     # 85 and 5,915 rows per class leave 17 + 1,183 outside the sample; half of those is the test set.
     assert study.scored.count() == 600
 
