@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 from rarefind.llm.byte_bpe import codec_digests
 from rarefind.llm.common import read_table
 from rarefind.llm.jaccard_join import similar_components
-from rarefind.llm.language_id import identify_languages, page_evidence, train_text_model
+from rarefind.llm.language_id import (
+    document_evidence,
+    identify_languages,
+    page_evidence,
+    train_text_model,
+)
 from rarefind.llm.licenses import scan_licences
 from rarefind.llm.packing import pack_texts
 from rarefind.llm.quality import quality_rules
@@ -128,10 +133,18 @@ def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The language of every page, with a text model learnt from the documents."""
-    model = train_text_model(read_table(spark, sf_dir, "documents"))
-    found = identify_languages(page_evidence(read_table(spark, sf_dir, "pages")), model)
-    return found.withColumnRenamed("id", "page_id")
+    """The language of every page and of every document, with a text model learnt from the documents.
+
+    A row has either a page_id or a doc_id. Pages and documents are judged apart, each with priors of its own.
+    """
+    docs = read_table(spark, sf_dir, "documents")
+    model = train_text_model(docs)
+    nothing = F.lit(None).cast("bigint")
+    pages = identify_languages(page_evidence(read_table(spark, sf_dir, "pages")), model)
+    documents = identify_languages(document_evidence(docs), model)
+    of_pages = pages.withColumns({"page_id": F.col("id"), "doc_id": nothing}).drop("id")
+    of_documents = documents.withColumns({"page_id": nothing, "doc_id": F.col("id")}).drop("id")
+    return of_pages.unionByName(of_documents)
 
 
 @_query
