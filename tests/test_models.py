@@ -309,3 +309,38 @@ def test_saved_pipeline_scores_the_same(spark, lines, tmp_path):
     assert Counter(map(str, model.transform(lines).select(*columns).collect())) == Counter(
         map(str, again.transform(lines).select(*columns).collect())
     )
+
+
+# ---- how often the source is read ----
+
+
+def _counted(spark):
+    """Rows with a rare class, and a counter that goes up whenever their one partition is read."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def opened(rows):
+        reads.add(1)
+        return rows
+
+    values = [(i, float(i % 7), float(i % 50), float(i % 50 > 45)) for i in range(600)]
+    rows = spark.sparkContext.parallelize(values, 1).mapPartitions(opened)
+    return spark.createDataFrame(rows, "id bigint, a double, b double, Class double"), reads
+
+
+def test_a_fit_reads_the_source_twice(spark):
+    rows, reads = _counted(spark)
+    forest = train.random_forest(spark, maxDepth=3, numTrees=3)
+    model = train.fit_stored(features.feature_pipeline(["a", "b"], forest), rows, partitions=2)
+    assert reads.value <= 2
+    assert model.transform(rows).filter("prediction = label").count() > 500
+
+
+def test_a_search_reads_the_source_three_times(spark):
+    rows, reads = _counted(spark)
+    forest = train.random_forest(spark, numTrees=2)
+    grid = train.param_grid(forest, {"maxDepth": [1, 3]})
+    found = search.tune_imbalanced(
+        rows, forest, grid, [0.5, 0.8], 3, keys=["id"], features=["a", "b"], models_per_pass=2
+    )
+    assert reads.value <= 3
+    assert found.trials.count() == 12
