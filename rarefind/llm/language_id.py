@@ -89,9 +89,11 @@ def train_text_model(
     Null languages, texts and ids take no part. Languages with fewer than three drawn texts are left out;
     without any, all texts come out as none. Counts are summed in Spark: at most 65,536 for a language.
     """
-    known = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    drawn = known.select(F.col(id_col).alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(max_texts)
-    texts = known.join(F.broadcast(drawn.distinct()), F.col(id_col) == F.col("_id"), "left_semi")
+    known = docs.select(
+        F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
+    ).filter("id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
+    drawn = known.select(F.col("id").alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(max_texts)
+    texts = known.join(F.broadcast(drawn.distinct()), F.col("id") == F.col("_id"), "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,7 +111,7 @@ def train_text_model(
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["lang", "bucket", "n"])
 
-    counted = map_batches(texts.select(lang_col, text_col), count, "lang string, bucket bigint, n bigint")
+    counted = map_batches(texts.select("lang", "text"), count, "lang string, bucket bigint, n bigint")
     by_lang: dict[str, np.ndarray] = {}
     n_texts: dict[str, int] = {}
     for r in counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():

@@ -240,8 +240,9 @@ def fit_quality(
         .orderBy(F.xxhash64("_id"), "_id")
         .limit(max_labelled)
     )
-    texts = docs.join(F.broadcast(drawn), F.col(id_col) == F.col("_id")).select("_label", text_col)
-    statistics = rule_statistics(texts, "_label", text_col)
+    plain = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
+    texts = plain.join(F.broadcast(drawn), F.col("_doc") == F.col("_id"))
+    statistics = rule_statistics(texts, "_label", "_text")
     found = statistics.orderBy(F.xxhash64(*statistics.columns), "n_words").limit(max_labelled).toPandas()
     counts = {c: found[c].to_numpy() for c in (*_COUNTS, *_MORE_COUNTS)}
     passed = ~base_failed(counts)
