@@ -416,6 +416,35 @@ def test_stages(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "language_id", "jaccard_join", "suffix_dedup", "pack"]
 
 
+def _linked_by_shingles(rows, n, percent):
+    """The least id linked with each, over every pair."""
+    split = [(i, re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split()) for i, t in rows]
+    sets = [(i, {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()) for i, w in split]
+    least = {i: i for i, _ in sets}
+    for a, (i, x) in enumerate(sets):
+        for j, y in sets[a + 1 :]:
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
+                low, high = sorted((least[i], least[j]))
+                least = {k: low if v == high else v for k, v in least.items()}
+    return least
+
+
+def test_near_duplicate_stage_links_at_five_words_and_80(spark):
+    """Two edited words in 104 leave 90 of 110 5-grams, and 3-grams at 0.887; three edited words are too many."""
+    random.seed(80)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    rows = []
+    for base in range(6):
+        words = random.sample(vocabulary, 104)
+        for edits in ([], [20, 60], [30, 80], [15, 50, 90]):
+            rows.append((len(rows), " ".join(f"new{base}.{len(rows)}" if i in edits else w for i, w in enumerate(words))))
+    columns = [*rows, *((100 + i, t) for i, t in enumerate(_near_copies(4)))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in columns], DOCS)
+    kept = dict(corpus_pipeline.STAGES)["jaccard_join"](spark, docs, "").collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(_linked_by_shingles(columns, 5, 80).values()))
+    assert {r["doc_id"] for r in kept if r["doc_id"] < 100} == {i for i in range(24) if i % 4 in (0, 3)}
+
+
 def test_entry_registers_every_query():
     from __spark_entry__ import oracle_sql, queries
 
