@@ -70,10 +70,14 @@ UNKNOWN_FREEDOM = 0.5
 EXCEPTION_GAIN = 0.5
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_TAG_LINE = re.compile(r"spdx-license-identifier:[ \t]*([^\n\r]*)")
-_EXPRESSION_TOKEN = re.compile(r"[()]|[a-z0-9.+-]+")
+_TAG_HIT = re.compile(r"spdx-license-identifier:[ \t]*")
+_LINE_END = re.compile(r"[\n\r]")
+_EXPRESSION_TOKEN = re.compile(r"[()]|[A-Za-z0-9.+-]+")
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
-_EXPRESSION_CHARS = 2_000
+
+
+#: Labels and freedom of a part of an expression.
+_Operand = tuple[set[str], float]
 
 
 @dataclass(frozen=True)
@@ -90,21 +94,27 @@ def _licence(identifier: str) -> Terms:
     return Terms(frozenset([label]), FREEDOM.get(label, UNKNOWN_FREEDOM))
 
 
-def _apply(operator: str, left: Terms, right: Terms) -> Terms:
-    """AND binds to the stricter side, OR leaves the choice, WITH loosens by an exception."""
+def _apply(operator: str, left: _Operand, right: _Operand) -> _Operand:
+    """AND binds to the stricter side, OR leaves the choice, WITH loosens by an exception.
+
+    The larger of two sets of labels takes in the other, so that long expressions stay cheap.
+    """
+    (names, freedom), (others, other) = left, right
     if operator == "with":
-        return Terms(left.labels, left.freedom + EXCEPTION_GAIN * (1 - left.freedom))
-    pick = min if operator == "and" else max
-    return Terms(left.labels | right.labels, pick(left.freedom, right.freedom))
+        return names, freedom + EXCEPTION_GAIN * (1 - freedom)
+    small, large = sorted((names, others), key=len)
+    large |= small
+    return large, (min if operator == "and" else max)(freedom, other)
 
 
-def evaluate_expression(text: str) -> Terms | None:
+def evaluate_expression(text: str, start: int = 0, end: int | None = None) -> Terms | None:
     """The value of a licence expression, or of its longest well-formed beginning; None if there is none.
 
     Identifiers are pushed on one stack and operators wait on another while tighter ones go first.
-    Reading stops where neither an operand nor an operator can follow.
+    Reading stops where neither an operand nor an operator can follow, or at ``end``; what comes after is
+    not looked at.
     """
-    operands: list[Terms] = []
+    operands: list[_Operand] = []
     operators: list[str] = []
 
     def reduce() -> None:
@@ -112,14 +122,16 @@ def evaluate_expression(text: str) -> Terms | None:
         operands.append(_apply(operators.pop(), left, right))
 
     want_operand = True
-    for token in _EXPRESSION_TOKEN.findall(lower_ascii(text[:_EXPRESSION_CHARS])):
+    for found in _EXPRESSION_TOKEN.finditer(text, start, len(text) if end is None else end):
+        token = found[0].lower()
         if want_operand:
             if token == "(":
                 operators.append(token)
             elif token == ")" or token in _PRECEDENCE:
                 break
             else:
-                operands.append(_licence(token))
+                terms = _licence(token)
+                operands.append((set(terms.labels), terms.freedom))
                 want_operand = False
         elif token in _PRECEDENCE:
             while operators and _PRECEDENCE.get(operators[-1], 0) >= _PRECEDENCE[token]:
@@ -144,7 +156,20 @@ def evaluate_expression(text: str) -> Terms | None:
             operators.pop()
         else:
             reduce()
-    return operands[0] if operands else None
+    return Terms(frozenset(operands[0][0]), operands[0][1]) if operands else None
+
+
+def tag_expressions(text: str) -> Iterator[Terms]:
+    """The value of the expression after every tag of a text in lower case, also of several on one line.
+
+    An expression ends with its line or where the next tag starts, so no character is read for two tags.
+    """
+    hits = list(_TAG_HIT.finditer(text))
+    for hit, following in zip(hits, [*(h.start() for h in hits[1:]), len(text)]):
+        line_end = _LINE_END.search(text, hit.end(), following)
+        value = evaluate_expression(text, hit.end(), line_end.start() if line_end else following)
+        if value is not None:
+            yield value
 
 
 class LicenceScanner:
@@ -184,8 +209,7 @@ class LicenceScanner:
             {self._labels[p] for p in phrases if p != TAG}
         )]
         if TAG in phrases:
-            values = (evaluate_expression(m[1]) for m in _TAG_LINE.finditer(lowered))
-            terms += [v for v in values if v is not None]
+            terms += tag_expressions(lowered)
         labels = sorted({label for t in terms for label in t.labels})
         base_labels = sorted({self._base[p] for p in phrases if p in self._base})
         return (

@@ -244,6 +244,19 @@ def test_scan_licences(spark):
     assert licenses.scan_licences(_docs(spark, []).limit(0)).collect() == []
 
 
+def test_every_tag_and_whole_expressions_count():
+    scanner = licenses.LicenceScanner(licenses.BASE_PHRASES, licenses.NOTICES)
+    tag = "SPDX-License-Identifier:"
+    assert scanner.scan(f"{tag} MIT some prose {tag} GPL-3.0")[5:] == ("gpl-3,mit", 0.4)
+    assert scanner.scan(f"{tag} MIT OR {tag} {tag}\tAGPL-3.0 AND\nBSD-2-Clause")[5:] == ("agpl,mit", 0.3)
+    assert scanner.scan(f"{tag}\nMIT")[5:] == ("", licenses.UNKNOWN_FREEDOM)
+    names = [f"own-{i:05}" for i in range(20_000)]
+    found = scanner.scan(f"{tag} {' AND '.join(names)} AND AGPL-3.0 {tag} MIT")
+    assert found[5:] == (",".join(["agpl", "mit", *names]), 0.3)
+    found = scanner.scan(f"{tag} {'(' * 3000}{' OR '.join(names[:500])}{')' * 3000} WITH x-1 AND CC-BY-NC-4.0")
+    assert found[5:] == (",".join(["cc-by-nc", *names[:500]]), 0.2)
+
+
 def _page(lang, text):
     return f'<html lang="{lang}"><script>var x = "nothing of this";</script><body><p>{text}</p><!-- no --></body></html>'
 
