@@ -82,9 +82,9 @@ class Anchors:
     whole: np.ndarray
 
 
-def anchors(data: bytes, window: int, core: int) -> Iterator[Anchors]:
-    """Every window of a text, by anchor, one chunk after another."""
-    x = np.frombuffer(data, np.uint8)
+def anchors(data: bytes | np.ndarray, window: int, core: int) -> Iterator[Anchors]:
+    """Every window of a text, by anchor, one chunk after another. An array holds a number per place."""
+    x = np.frombuffer(data, np.uint8) if isinstance(data, bytes) else data
     n_windows = len(x) - window + 1
     for at in range(0, max(0, n_windows), CHUNK):
         n = min(CHUNK, n_windows - at)

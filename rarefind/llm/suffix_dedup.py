@@ -15,6 +15,8 @@ windows. Buckets hold hashes of digits, and each pass is a Spark aggregate.
 
 Hashes have 64 bits and every bucket is keyed by the digits before as well, so that windows are told apart
 by 128 bits or more.
+
+The same passes find repeated windows of words: places are then words, each a 64-bit hash, instead of bytes.
 """
 
 from __future__ import annotations
@@ -24,17 +26,47 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rarefind.llm.bloom import build_bloom
 from rarefind.llm.byte_windows import CHUNK, SliceHashes, anchors
-from rarefind.llm.common import map_batches, stored
+from rarefind.llm.common import Memo, map_batches, stored
 
 WINDOW = 400
 CORE_SHARE = 0.32
 BLOCK = 32
+#: Words of the shortest passage that counts as more than 50.
+WORD_WINDOW = 51
 _FILTER_BITS = 1 << 27
+_MEMO_WORDS = 200_000
+_BYTE, _WORD = np.dtype(np.uint8), np.dtype(np.uint64)
+
+
+class _Reader:
+    """What the windows of a text are made of: its bytes, or its words as numbers.
+
+    Words are runs without ASCII white space, told apart by case.
+    """
+
+    def __init__(self, unit: np.dtype):
+        self._unit, self._numbers = unit, Memo(xxhash.xxh3_64_intdigest, _MEMO_WORDS)
+
+    def places(self, data: bytes) -> np.ndarray:
+        if self._unit == _BYTE:
+            return np.frombuffer(data, np.uint8)
+        found = data.split()
+        return np.fromiter(map(self._numbers.__getitem__, found), np.uint64, len(found))
+
+
+def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text start and stop, in bytes."""
+    x = np.frombuffer(data, np.uint8)
+    inside = np.zeros(len(x) + 2, np.int8)
+    inside[1:-1] = ~((x == 32) | ((x >= 9) & (x <= 13)))
+    change = np.diff(inside)
+    return np.flatnonzero(change == 1), np.flatnonzero(change == -1)
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
@@ -49,15 +81,16 @@ def _same_row(left: str, right: str) -> Column:
     return a.eqNullSafe(b) & (F.col(f"{left}._hash") == F.col(f"{right}._hash"))
 
 
-def _runs(texts: DataFrame, window: int, core: int) -> DataFrame:
+def _runs(texts: DataFrame, window: int, core: int, unit: np.dtype) -> DataFrame:
     """Pass 1's rows, a run of windows each: (_id, _hash, first, count, inside, core, whole)."""
     fields = ("first", "count", "inside", "core", "whole")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = _Reader(unit)
         for batch in batches:
             source, found = [], {f: [] for f in fields}
             for i in range(batch.num_rows):
-                for part in anchors(batch.column(2)[i].as_buffer().to_pybytes(), window, core):
+                for part in anchors(reader.places(batch.column(2)[i].as_buffer().to_pybytes()), window, core):
                     source.append(np.full(len(part.first), i))
                     for f in fields:
                         found[f].append(getattr(part, f))
@@ -71,7 +104,7 @@ def _runs(texts: DataFrame, window: int, core: int) -> DataFrame:
     return map_batches(texts, find, schema)
 
 
-def _bytes_of_runs(texts: DataFrame, kinds: DataFrame, window: int) -> DataFrame:
+def _bytes_of_runs(texts: DataFrame, kinds: DataFrame, window: int, unit: np.dtype) -> DataFrame:
     """One run of each kind with its bytes, cut out of its text: (_id, _hash, first, count, inside, core, data)."""
     mine = kinds.groupBy("_id", "_hash").agg(
         F.collect_list(F.struct("first", "count", "inside", "core")).alias("runs")
@@ -80,14 +113,15 @@ def _bytes_of_runs(texts: DataFrame, kinds: DataFrame, window: int) -> DataFrame
     fields = ("first", "count", "inside", "core")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = _Reader(unit)
         for batch in batches:
             source, rows, data = [], [], []
             for i in range(batch.num_rows):
-                text = batch.column(2)[i].as_buffer()
+                places = reader.places(batch.column(2)[i].as_buffer().to_pybytes())
                 for run in batch.column(3)[i].as_py():
                     source.append(i)
                     rows.append([run[f] for f in fields])
-                    data.append(text.slice(run["first"], run["count"] + window - 1).to_pybytes())
+                    data.append(places[run["first"] : run["first"] + run["count"] + window - 1].tobytes())
             at = pa.array(source, pa.int64())
             columns = [batch.column(0).take(at), batch.column(1).take(at)]
             columns += [pa.array([r[j] for r in rows], pa.int64()) for j in range(len(fields))]
@@ -100,9 +134,11 @@ def _bytes_of_runs(texts: DataFrame, kinds: DataFrame, window: int) -> DataFrame
     return map_batches(joined, cut, schema)
 
 
-def _in_slabs(batch: pa.RecordBatch, column: int) -> Iterator[tuple[np.ndarray, SliceHashes, np.ndarray]]:
-    """Rows of a batch in groups whose bytes fit a chunk: (row numbers, hashes, where each row's bytes start)."""
-    sizes = [len(v.as_buffer()) for v in batch.column(column)]
+def _in_slabs(
+    batch: pa.RecordBatch, column: int, unit: np.dtype
+) -> Iterator[tuple[np.ndarray, SliceHashes, np.ndarray]]:
+    """Rows of a batch in groups whose places fit a chunk: (row numbers, hashes, where each row's places start)."""
+    sizes = [v.as_buffer().size // unit.itemsize for v in batch.column(column)]
     at = 0
     while at < len(sizes):
         to, total = at, 0
@@ -111,7 +147,7 @@ def _in_slabs(batch: pa.RecordBatch, column: int) -> Iterator[tuple[np.ndarray,
             to += 1
         data = b"".join(batch.column(column)[i].as_buffer().to_pybytes() for i in range(at, to))
         starts = np.concatenate(([0], np.cumsum(sizes[at:to])[:-1])).astype(np.int64)
-        yield np.arange(at, to), SliceHashes(data), starts
+        yield np.arange(at, to), SliceHashes(np.frombuffer(data, unit)), starts
         at = to
 
 
@@ -121,13 +157,13 @@ def _repeat_each(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
 
 
-def _blocks(kinds: DataFrame, window: int, block: int) -> DataFrame:
+def _blocks(kinds: DataFrame, window: int, block: int, unit: np.dtype) -> DataFrame:
     """Pass 3's rows: (ref, core, place, shared, union, start, windows), with ``start`` relative to the run."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             count, inside = (batch.column(i).to_numpy() for i in (2, 3))
-            for rows, hashes, begin in _in_slabs(batch, 4):
+            for rows, hashes, begin in _in_slabs(batch, 4, unit):
                 last, first = inside[rows], inside[rows] - count[rows] + 1
                 row, number = _repeat_each(last // block - first // block + 1)
                 place = first[row] // block + number
@@ -155,14 +191,14 @@ def _blocks(kinds: DataFrame, window: int, block: int) -> DataFrame:
     return map_batches(kinds.select("ref", "core", "count", "inside", "data"), split, schema)
 
 
-def _windows(blocks: DataFrame, window: int) -> DataFrame:
+def _windows(blocks: DataFrame, window: int, unit: np.dtype) -> DataFrame:
     """Pass 4's rows, single windows: (ref, core, at, bytes_hash), with ``at`` relative to the run."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.column(2).to_numpy()
             start = batch.column(3).to_numpy()
-            for rows, hashes, begin in _in_slabs(batch, 4):
+            for rows, hashes, begin in _in_slabs(batch, 4, unit):
                 row, number = _repeat_each(n[rows])
                 at = begin[row] + number
                 arrays = [
@@ -183,14 +219,18 @@ def _buckets(rows: DataFrame, key: list[str], value: str) -> DataFrame:
     return counted.filter(F.col("_n") > 1).select(*key, (F.col("_a") == F.col("_b")).alias("alike"))
 
 
-def repeated_runs(docs: DataFrame, id_col: str, text_col: str, window: int = WINDOW) -> DataFrame:
+def repeated_runs(
+    docs: DataFrame, id_col: str, text_col: str, window: int = WINDOW, in_words: bool = False
+) -> DataFrame:
     """Runs of windows that also start elsewhere: (_id, _hash, first, count), stored.
 
-    ``_hash`` is ``xxhash64`` of the text. Places count UTF-8 bytes. A run may come more than once.
+    ``_hash`` is ``xxhash64`` of the text. Places count UTF-8 bytes, or words. A run may come more than once.
     """
+    unit = _WORD if in_words else _BYTE
+    block = min(BLOCK, window)
     texts = _texts(docs, id_col, text_col)
     core = max(1, round(window * CORE_SHARE))
-    runs = stored(_runs(texts, window, core), "runs")
+    runs = stored(_runs(texts, window, core, unit), "runs")
     tied = stored(runs.join(_buckets(runs, ["core"], "whole"), "core"), "tied_runs")
 
     place = ["_id", "_hash", "first", "count"]
@@ -202,16 +242,18 @@ def repeated_runs(docs: DataFrame, id_col: str, text_col: str, window: int = WIN
     copied = mixed.join(kinds.filter("copies > 1").select("core", "whole"), ["core", "whole"]).select(*place)
 
     one_each = kinds.select("core", "run.*")
-    cut = _bytes_of_runs(texts, one_each, window).withColumn("ref", F.monotonically_increasing_id())
+    cut = _bytes_of_runs(texts, one_each, window, unit).withColumn("ref", F.monotonically_increasing_id())
     cut = stored(cut, "run_bytes")
-    blocks = stored(_blocks(cut, window, BLOCK), "blocks")
+    blocks = stored(_blocks(cut, window, block, unit), "blocks")
     met = blocks.join(_buckets(blocks, ["core", "place", "shared"], "union"), ["core", "place", "shared"])
     met = stored(met.select("ref", "core", "start", "windows", "alike"), "met_blocks")
     even = met.filter("alike").select("ref", F.col("start").alias("at"), F.col("windows").alias("n"))
 
-    bytes_of_block = F.substring(F.col("data"), (F.col("start") + 1).cast("int"), (F.col("windows") + window - 1).cast("int"))
+    width = unit.itemsize
+    begin, length = F.col("start") * width + 1, (F.col("windows") + window - 1) * width
+    bytes_of_block = F.substring(F.col("data"), begin.cast("int"), length.cast("int"))
     open_blocks = met.filter("NOT alike").join(cut.select("ref", "data"), "ref").withColumn("data", bytes_of_block)
-    single = stored(_windows(open_blocks, window), "windows")
+    single = stored(_windows(open_blocks, window, unit), "windows")
     equal = single.groupBy("core", "bytes_hash").count().filter("count > 1").select("core", "bytes_hash")
     last = single.join(equal, ["core", "bytes_hash"]).select("ref", "at", F.lit(1).cast("bigint").alias("n"))
 
@@ -227,9 +269,13 @@ def remove_repeats(
     text_col: str = "text",
     window: int = WINDOW,
     with_kept: bool = False,
+    word_window: int | None = None,
 ) -> DataFrame:
     """Remove every byte covered by a window of ``window`` bytes that also starts anywhere else.
 
+    With ``word_window``, also every window of so many words that also starts anywhere else, from its first
+    word to its last; what stands between words is not compared.
+
     Columns: id, n_bytes, n_removed, n_spans (maximal removed stretches), kept_sha256. With ``with_kept``
     also ``kept``, the text that is left (a character cut in two goes), and ``row``, a struct of the input
     columns. Texts are UTF-8; a null text counts as empty. Both copies of a window go, within one text or
@@ -241,8 +287,11 @@ def remove_repeats(
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns] if with_kept else [F.lit(0).alias("none")]).alias("row")
     texts = _texts(docs, id_col, text_col, row)
-    runs = repeated_runs(docs, id_col, text_col, window)
-    mine = runs.groupBy("_id", "_hash").agg(F.collect_set(F.struct("first", "count")).alias("runs"))
+    runs = repeated_runs(docs, id_col, text_col, window).withColumn("in_words", F.lit(False))
+    if word_window:
+        of_words = repeated_runs(docs, id_col, text_col, word_window, in_words=True)
+        runs = runs.unionByName(of_words.withColumn("in_words", F.lit(True)))
+    mine = runs.groupBy("_id", "_hash").agg(F.collect_set(F.struct("first", "count", "in_words")).alias("runs"))
     rows = runs.select("_id", "_hash").distinct()
     hit = build_bloom(rows, rows.count(), 0.02, max_bits=_FILTER_BITS).may_contain(F.col("_id"), F.col("_hash"))
 
@@ -265,7 +314,7 @@ def remove_repeats(
             rows = []
             for i in range(batch.num_rows):
                 data = batch.column(1)[i].as_buffer().to_pybytes()
-                kept, spans = without_runs(data, batch.column(2)[i].as_py() or [], window)
+                kept, spans = without_runs(data, batch.column(2)[i].as_py() or [], window, word_window)
                 digest = hashlib.sha256(kept).hexdigest()
                 rows.append((len(data), len(data) - len(kept), spans, digest, kept.decode("utf-8", "ignore")))
             columns = [batch.column(0), *[pa.array([r[j] for r in rows], pa.int64()) for j in range(3)]]
@@ -278,11 +327,18 @@ def remove_repeats(
     return clean.unionByName(removed).select(*names)
 
 
-def without_runs(data: bytes, runs: list[dict], window: int) -> tuple[bytes, int]:
+def without_runs(data: bytes, runs: list[dict], window: int, word_window: int | None = None) -> tuple[bytes, int]:
     """The bytes outside all windows of the runs, and the number of maximal stretches taken out."""
+    stretches = [(r["first"], r["first"] + r["count"] + window - 1) for r in runs if not r["in_words"]]
+    of_words = [r for r in runs if r["in_words"]]
+    if of_words:
+        starts, stops = word_bounds(data)
+        stretches += [
+            (int(starts[r["first"]]), int(stops[r["first"] + r["count"] + word_window - 2])) for r in of_words
+        ]
     kept, at, spans = [], 0, 0
     end = -1
-    for first, stop in sorted((r["first"], r["first"] + r["count"] + window - 1) for r in runs):
+    for first, stop in sorted(stretches):
         if first > end:
             kept.append(data[at:first])
             spans += 1

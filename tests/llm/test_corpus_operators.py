@@ -445,6 +445,39 @@ def test_near_duplicate_stage_links_at_five_words_and_80(spark):
     assert {r["doc_id"] for r in kept if r["doc_id"] < 100} == {i for i in range(24) if i % 4 in (0, 3)}
 
 
+def _word_repeats(texts, window):
+    """The words of each text that no repeated window of words covers."""
+    split = [(t or "").split() for t in texts]
+    seen = Counter(tuple(w[i : i + window]) for w in split for i in range(len(w) - window + 1))
+    out = []
+    for w in split:
+        gone = {j for i in range(len(w) - window + 1) if seen[tuple(w[i : i + window])] > 1 for j in range(i, i + window)}
+        out.append([x for j, x in enumerate(w) if j not in gone])
+    return out
+
+
+def test_repeat_stage_takes_passages_of_51_words(spark, monkeypatch):
+    """Passages of short words, far below 400 bytes; what is shared in 50 words or fewer stays as it is."""
+    monkeypatch.setattr(byte_windows, "CHUNK", 130)
+    random.seed(51)
+    own = iter(range(10**6))
+    fresh = lambda n: [f"{next(own)}é" for _ in range(n)]
+    long, short, many = fresh(51), fresh(50), fresh(300)
+    texts = [" ".join([*fresh(9), *long, *fresh(9)]), " \n".join([*fresh(90), *long]), " ".join(long)]
+    texts += [" ".join([*fresh(7), *short, *fresh(7)]) for _ in range(3)]
+    for _ in range(30):
+        at, n = random.randrange(250), random.randint(20, 60)
+        texts.append(" ".join([*fresh(random.randint(0, 80)), *many[at : at + n], *fresh(3)]))
+    texts += ["a b " * 60, "c " * 51, None, "", " \t", "日本語" * 60 + "x", "日本語" * 60 + "y"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+    rows = {r["doc_id"]: r["text"] for r in dict(corpus_pipeline.STAGES)["suffix_dedup"](spark, docs, "").collect()}
+    expected = _word_repeats(texts, 51)
+    by_bytes = len(texts) - 2
+    assert [rows[i].split() for i in range(by_bytes)] == expected[:by_bytes]
+    assert all(rows[i] == texts[i] for i in (3, 4, 5)) and rows[2] == ""
+    assert [len(rows[i]) for i in (by_bytes, by_bytes + 1)] == [1, 1]
+
+
 def test_entry_registers_every_query():
     from __spark_entry__ import oracle_sql, queries
 
