@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from rarefind.llm.common import map_batches, stored
 from rarefind.llm.url_filter import host_of, path_of
+from rarefind.operators.sample import exact_split
 
-#: Most texts that the trigram model is trained on, and fewest texts that make a language.
+#: Most texts of each language that the trigram model is trained on, and fewest texts that make a language.
 MAX_TRAINING_TEXTS = 10_000
 MIN_LANGUAGE_TEXTS = 3
 #: A trigram shares letters with its neighbours, so it counts as this part of an independent one.
@@ -81,33 +82,40 @@ def train_text_model(
     lang_col: str = "lang",
     max_texts: int = MAX_TRAINING_TEXTS,
 ) -> TextModel:
-    """Trigram shares of each language from at most ``max_texts`` labelled texts, drawn by hash of the id.
+    """Trigram shares of each language from at most ``max_texts`` texts of that language, drawn by hash of the id.
+
+    A language is drawn from by itself: with three texts or more in the whole table it has a class, however
+    large the table and the other languages are.
 
     A trigram counts once for a text, and only if three texts of the language have it, so that one text
     with a wrong label teaches nothing.
 
-    Null languages, texts and ids take no part. Languages with fewer than three drawn texts are left out;
-    without any, all texts come out as none. Counts are summed in Spark: at most 65,536 for a language.
+    Null languages, texts and ids take no part. Languages with fewer than three texts, or without a trigram in
+    any drawn text, are left out; without any, all texts come out as none. Counts are summed in Spark: at most
+    65,536 for a language.
     """
     known = docs.select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
     ).filter("id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
-    drawn = known.select(F.col("id").alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(max_texts)
-    texts = known.join(F.broadcast(drawn.distinct()), F.col("id") == F.col("_id"), "left_semi")
+    wanted = F.least("_total", F.lit(max(max_texts, MIN_LANGUAGE_TEXTS)))
+    texts, _ = exact_split(known, ["id"], wanted, by="lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[str, list] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                entry = seen.setdefault(lang, [0, np.zeros(1 << _BUCKET_BITS, np.int64)])
-                entry[0] += 1
-                entry[1][np.unique(np.concatenate([*_trigrams(text), np.zeros(0, np.int64)]))] += 1
-            for lang, (n, counts) in seen.items():
+            # One language after another, so that only one holds counts at a time.
+            rows_of: dict[str, list[int]] = {}
+            for i, lang in enumerate(batch.column(0).to_pylist()):
+                rows_of.setdefault(lang, []).append(i)
+            for lang, rows in rows_of.items():
+                counts = np.zeros(1 << _BUCKET_BITS, np.int64)
+                for i in rows:
+                    text = batch.column(1)[i].as_py()
+                    counts[np.unique(np.concatenate([*_trigrams(text), np.zeros(0, np.int64)]))] += 1
                 used = np.flatnonzero(counts)
                 columns = [
                     pa.array([lang] * (len(used) + 1), pa.string()),
                     pa.array(np.concatenate(([-1], used))),
-                    pa.array(np.concatenate(([n], counts[used]))),
+                    pa.array(np.concatenate(([len(rows)], counts[used]))),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["lang", "bucket", "n"])
 

@@ -300,6 +300,18 @@ def test_language_evidence_moves_short_texts(spark):
     assert sure.shape == table.shape
 
 
+def test_every_language_of_a_large_table_has_a_class(spark):
+    """Few texts of one language among many of another, far more than are drawn; and ids that repeat."""
+    rows = [(i, "the words of this text are plain " + "x" * (i % 7), "en", "s", 0) for i in range(400)]
+    rows += [(1000 + i, "кью дзз жщж фыв", "ru", "s", 0) for i in range(3)]
+    rows += [(2000, "ein und derselbe satz", "de", "s", 0)] * 40 + [(3000, "deux textes", "fr", "s", 0)] * 2
+    docs = spark.createDataFrame(rows, DOCS)
+    model = language_id.train_text_model(docs, max_texts=12)
+    assert model.languages == ["de", "en", "ru"]
+    found = language_id.identify_languages(language_id.document_evidence(docs.filter("lang != 'fr'")), model).collect()
+    assert all(r["accepted"] and r["lang"] == r["declared"] for r in found) and len(found) == 443
+
+
 def test_language_without_training_rows(spark):
     empty = spark.createDataFrame([], DOCS)
     model = language_id.train_text_model(empty)
