@@ -22,6 +22,8 @@ from rarefind.llm.suffix_dedup import remove_repeats
 from rarefind.llm.token_counts import token_counts
 from rarefind.llm.url_filter import Rule, filter_urls, hosts_with_terms
 from rarefind.llm.vector_search import nearest_neighbours
+from rarefind.llm.warc import read_warc, with_originals, write_warc
+from rarefind.sources.scratch import fresh_path
 
 REGISTRY = {}
 ORACLE_SQL = {}
@@ -152,3 +154,39 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest vectors of every hundredth one."""
     vectors = read_table(spark, sf_dir, "embeddings")
     return nearest_neighbours(vectors, F.col("vec_id") % 100 == 0)
+
+
+@_query
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back from them."""
+    archives = fresh_path(spark, "warc")
+    write_warc(read_table(spark, sf_dir, "pages"), archives)
+    found = with_originals(read_warc(spark, archives))
+    return found.select(
+        F.col("record_id").try_cast("bigint").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").try_cast("bigint").alias("refers_to"),
+    )
+
+
+_BASE32_SQL = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(hex, {5 * k + 1}, 5))::BIGINT >> {shift} & 31)::BIGINT + 1, 1)"
+    for k in range(8)
+    for shift in (15, 10, 5, 0)
+)
+ORACLE_SQL["op12_warc"] = f"""
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS payload FROM pages
+), tops AS (
+  SELECT page_id, strlen(payload) AS payload_bytes, sha1(payload) AS hex,
+    max(page_id) OVER (PARTITION BY payload) AS top,
+    row_number() OVER (PARTITION BY payload ORDER BY page_id DESC) AS n
+  FROM payloads
+)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, {_BASE32_SQL} AS payload_digest,
+  CASE WHEN n = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN n > 1 THEN top END AS refers_to
+FROM tops
+"""
