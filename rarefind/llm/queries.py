@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rarefind.llm.byte_bpe import codec_digests
 from rarefind.llm.common import read_table
+from rarefind.llm.conversation_trie import conversation_trie, ordered_turns, with_shared_heads
 from rarefind.llm.jaccard_join import similar_components
 from rarefind.llm.language_id import (
     document_evidence,
@@ -190,3 +191,63 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, {_BASE32_SQL} AS payload
   CASE WHEN n > 1 THEN top END AS refers_to
 FROM tops
 """
+
+
+@_query
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix trie of all conversations, with heads shared in groups of five."""
+    turns = ordered_turns(read_table(spark, sf_dir, "conversations"))
+    return conversation_trie(*with_shared_heads(turns))
+
+
+# 3988292384 is the reversed polynomial of CRC-32.
+ORACLE_SQL["op13_conversation_trie"] = """
+WITH RECURSIVE turns AS (
+  SELECT conv_id AS c, struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) AS t,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), crc AS (
+  SELECT DISTINCT c, c::VARCHAR AS s, 0 AS k, 4294967295::BIGINT AS v FROM turns
+  UNION ALL
+  SELECT c, s, k + 1, xor(w >> 1, CASE WHEN w & 1 = 1 THEN 3988292384 ELSE 0 END)::BIGINT
+  FROM (
+    SELECT c, s, k, CASE WHEN k % 8 = 0 THEN xor(v, ascii(substr(s, k // 8 + 1, 1))) ELSE v END::BIGINT AS w FROM crc
+    WHERE k < 8 * length(s)
+  )
+), convs AS (
+  SELECT c, c - c % 5 AS base, xor(v, 4294967295) % 9 AS h FROM crc WHERE k = 8 * length(s)
+), heads AS (
+  SELECT v.c, place, t FROM convs v JOIN turns ON turns.c = base WHERE place <= h
+), taken AS (
+  SELECT c, max(place) AS n FROM heads GROUP BY c
+), rebuilt AS (
+  SELECT c, place, t FROM heads
+  UNION ALL
+  SELECT v.c, place - h + coalesce(n, 0), t
+  FROM convs v JOIN turns ON turns.c = v.c LEFT JOIN taken ON taken.c = v.c WHERE place > h
+), prefixes AS (
+  SELECT c, 0 AS depth, []::STRUCT(role VARCHAR, "text" VARCHAR)[] AS p, 0 AS bytes FROM convs
+  UNION ALL
+  SELECT c, place, list(t) OVER (PARTITION BY c ORDER BY place), strlen(t.text) FROM rebuilt
+), members AS (
+  SELECT c, depth, p, bytes, min(c) OVER (PARTITION BY depth, p) AS node,
+    depth = max(depth) OVER (PARTITION BY c) AS ends FROM prefixes
+), nodes AS (
+  SELECT node, depth, count(*) AS n_convs, (count(*) - 1) * min(bytes) AS saved,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM members GROUP BY node, depth
+), linked AS (
+  SELECT n.*, m.node AS parent FROM nodes n LEFT JOIN members m ON m.c = n.node AND m.depth = n.depth - 1
+), children AS (
+  SELECT parent, depth - 1 AS depth, count(*) AS n_children FROM linked WHERE parent IS NOT NULL GROUP BY ALL
+), counted AS (
+  SELECT l.*, coalesce(n_children, 0) AS n_children
+  FROM linked l LEFT JOIN children k ON k.parent = l.node AND k.depth = l.depth
+), totals AS (
+  SELECT m.node, m.depth, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+  FROM counted n JOIN members m ON m.c = n.node AND m.depth <= n.depth GROUP BY m.node, m.depth
+)
+SELECT c.node AS conv_id, c.depth::BIGINT AS depth, parent AS parent_conv_id, n_convs, n_children::BIGINT AS n_children,
+  n_leaves, saved_tokens, ends_sha256
+FROM counted c JOIN totals t ON t.node = c.node AND t.depth = c.depth
+"""
