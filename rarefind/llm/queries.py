@@ -16,6 +16,7 @@ from rarefind.llm.language_id import (
     page_evidence,
     train_text_model,
 )
+from rarefind.llm.lexical_search import ranked_search
 from rarefind.llm.licenses import scan_licences
 from rarefind.llm.packing import pack_texts
 from rarefind.llm.quality import quality_rules
@@ -157,6 +158,42 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(vectors, F.col("vec_id") % 100 == 0)
 
 
+@_query
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 documents that rank highest for every benchmark item."""
+    return ranked_search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+_TERMS_SQL = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+ORACLE_SQL["op11_ranked_search"] = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS doc, doc_id, {_TERMS_SQL} AS terms FROM documents
+), words AS (
+  SELECT doc, unnest(terms) AS term FROM docs
+), item_words AS (
+  SELECT DISTINCT item_id, unnest({_TERMS_SQL}) AS term FROM benchmark
+), counts AS (
+  SELECT doc, term, count(*) AS tf FROM words WHERE term IN (SELECT term FROM item_words) GROUP BY ALL
+), sizes AS (
+  SELECT doc, doc_id, len(terms)::BIGINT AS n, count_if(len(terms) > 0) OVER () AS n_docs, sum(len(terms)) OVER () AS n_terms
+  FROM docs
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * (SELECT any_value(n_docs) FROM sizes) + 2) / (2 * count(*) + 1)))::BIGINT AS w
+  FROM counts GROUP BY term
+), scores AS (
+  SELECT item_id, doc_id,
+    sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * n_docs) // n_terms)))))::BIGINT AS score
+  FROM item_words JOIN counts USING (term) JOIN weights USING (term) JOIN sizes USING (doc)
+  GROUP BY item_id, doc, doc_id
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+  FROM scores WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= 50
+"""
+
+
 @_query
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives and read back from them."""
