@@ -29,7 +29,17 @@ def stored(df: DataFrame, name: str, **options) -> DataFrame:
     """The rows written once to the shared folder and read from there: cuts the lineage for good."""
     path = fresh_path(df.sparkSession, name)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``stored`` wrote. Nothing that is still to be computed may read them."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table._stored_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def workers_import_package(spark: SparkSession) -> None:

@@ -18,7 +18,7 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
 def _may_be_in(keys: DataFrame) -> Column:
     parts = keys.select("key.id", "key.hash")
     bloom = build_bloom(parts, parts.count(), 0.01, max_bits=_FILTER_BITS)
-    return bloom.may_contain(F.col("_key.id"), F.col("_key.hash"))
+    return bloom.may_contain(F.col("key.id"), F.col("key.hash"))
 
 
 def drop_rows(
@@ -30,14 +30,14 @@ def drop_rows(
     stay where they are; only the others are moved to meet the keys. Pass stored tables of keys.
     """
     keys = rejected if twins is None else rejected.unionByName(twins)
-    keyed = docs.withColumn("_key", row_key(id_col, text_col))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(row, row_key(f"`{id_col}`", f"`{text_col}`").alias("key"))
     hit = _may_be_in(keys)
     clear = keyed.filter(~hit)
-    gone = rejected.select(F.col("key").alias("_gone")).distinct()
-    left = keyed.filter(hit).join(gone, F.col("_key") == F.col("_gone"), "left_anti")
+    left = keyed.filter(hit).join(rejected.select("key").distinct(), "key", "left_anti")
     if twins is not None:
-        one = twins.select(F.col("key").alias("_twin")).distinct()
-        single = left.join(one, F.col("_key") == F.col("_twin"), "left_anti")
-        pairs = left.join(one, F.col("_key") == F.col("_twin"), "left_semi").dropDuplicates(["_key"])
+        one = twins.select("key").distinct()
+        single = left.join(one, "key", "left_anti")
+        pairs = left.join(one, "key", "left_semi").dropDuplicates(["key"])
         left = single.unionByName(pairs)
-    return clear.unionByName(left).drop("_key")
+    return clear.unionByName(left.select(*keyed.columns)).select("row.*")

@@ -275,20 +275,42 @@ def test_small_tiles_give_the_same_components(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("percent", [50, 80, 90])
-def test_similar_sets_share_a_block(percent):
-    """The pigeonhole bound, over sets that differ as much as the bound allows."""
+def test_similar_sets_share_a_first_ngram(percent):
+    """Over sets that differ as much as the bound allows, whatever the table of frequencies says of them."""
     random.seed(percent)
     classes = jaccard_join.SizeClasses(percent, 1 << 40)
     for _ in range(400):
         n = random.choice([1, 2, 3, 9, 10, 11, 15, 19, 20, 40, 100, 500])
-        common = np.array(random.sample(range(10**9), n), np.uint64)
+        common = np.array([random.getrandbits(64) for _ in range(n)], np.uint64)
         most = int(n * (100 - percent) / percent)
         split = random.randint(0, most)
-        new = np.array(random.sample(range(10**9, 2 * 10**9), most), np.uint64)
+        new = np.array([random.getrandbits(64) for _ in range(most)], np.uint64)
         x, y = np.unique(np.concatenate([common, new[:split]])), np.unique(np.concatenate([common, new[split:]]))
+        cells = np.array([random.choice([0, 0, 1, 2, 9]) for _ in range(1 << 10)], np.uint8)
+        rarity = jaccard_join.Rarity(cells)
+        cells[common >> np.uint64(54)] |= 1  # they are in two sets, and so of class 1 or above
         if 100 * n >= percent * (len(x) + len(y) - n):
-            shared = set(jaccard_join.block_hashes(x, classes)) & set(jaccard_join.block_hashes(y, classes))
-            assert shared
+            assert set(jaccard_join.first_ngrams(x, rarity, percent)) & set(jaccard_join.first_ngrams(y, rarity, percent))
+            assert set(classes.of(len(x))) & set(classes.of(len(y)))
+
+
+def test_rarity_counts_sets(spark, monkeypatch):
+    """Class 0 only for n-grams of one set, also when they are sent in many lists; frequent ones come last."""
+    monkeypatch.setattr(jaccard_join, "SORTED_NGRAMS", 50)
+    monkeypatch.setattr(jaccard_join, "SENT_COPIES", 3)
+    random.seed(5)
+    texts = [" ".join(random.choices([f"w{i}" for i in range(12)], k=30)) for _ in range(80)] + ["a b c d e f"] * 9
+    texts += [f"a b c d e f g{i} h" for i in range(40)] + [None, "", "one"]
+    rows = spark.createDataFrame([(i, i, t or "") for i, t in enumerate(texts)], "_id bigint, _hash bigint, _text string")
+    rarity = jaccard_join.ngram_rarity(rows.repartition(5), 3)
+    numbers = jaccard_join.Memo(jaccard_join._word_number, 1000)
+    sets = {tuple(jaccard_join.ngram_set(t, 3, numbers).tolist()) for t in texts}
+    times = Counter(g for s in sets for g in s)
+    grams = np.array(list(times), np.uint64)
+    level = dict(zip(times, rarity.of(grams).tolist()))
+    assert all(level[g] >= 1 for g, n in times.items() if n > 1)
+    assert np.mean([level[g] == 0 for g, n in times.items() if n == 1]) > 0.5
+    assert max(level.values()) == level[max(times, key=times.get)] >= 3
 
 
 @settings(max_examples=100, deadline=None)
@@ -379,6 +401,46 @@ def test_drop_rows(spark):
     assert sorted(map(tuple, rows), key=str) == [(1, "a"), (1, "b"), (2, None)]
 
 
+def test_drop_rows_keeps_any_column_name(spark):
+    docs = spark.createDataFrame([(1, "a", 5, 6), (2, "b", 7, 8)], "doc_id bigint, text string, key int, `row.x` int")
+    gone = docs.filter("doc_id = 1").select(row_key().alias("key"))
+    left = drop_rows(docs, gone)
+    assert left.columns == docs.columns and [tuple(r) for r in left.collect()] == [(2, "b", 7, 8)]
+
+
+def test_stages_on_odd_tables(spark):
+    """Empty tables, null ids and texts, and columns that clash with names used inside."""
+    sf_dir = "/root/testdata/sf0.001"
+    schema = DOCS + ", kept string, key int, row string, _id string"
+    text = "der hund und die katze sind heute nicht im garten, weil es den ganzen tag geregnet hat. " * 3
+    rows = [(None, text, None, None, None), (1, None, "de", "s", 4), (2, "", "de", "s", 4), (3, text + "x y z", "de", "s", 9)]
+    full = spark.createDataFrame([(*r, "k", 1, "r", "i") for r in rows], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for docs in (full, full.limit(0)):
+            out = stage(spark, docs, sf_dir)
+            assert out.columns == docs.columns and out.schema.simpleString() == docs.schema.simpleString(), name
+            out.collect()
+    assert corpus_pipeline.STAGES[-1][1](spark, full.limit(0), sf_dir).collect() == []
+    assert {r["doc_id"] for r in corpus_pipeline.STAGES[-1][1](spark, full, sf_dir).collect()} == {None, 1, 2, 3}
+
+
+def test_whole_run(spark):
+    """All stages one after the other: every packed document is one of the table's, and sequences have no gaps."""
+    sf_dir = "/root/testdata/sf0.001"
+    rows = corpus_pipeline.run(spark, sf_dir).collect()
+    ids = {r["doc_id"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect()}
+    assert {r["doc_id"] for r in rows} <= ids and len({r["doc_id"] for r in rows}) > len(ids) / 2
+    placed = defaultdict(list)
+    for r in rows:
+        placed[r["sequence_id"]].append((r["offset"], r["length"]))
+    for pieces in placed.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 1024
+
+
 def test_stages(spark):
     """Each stage on hand-made rows: what it has to drop goes, and clean documents stay as they are."""
     sf_dir = "/root/testdata/sf0.01"
@@ -404,14 +466,14 @@ def test_stages(spark):
     base = [f"u{i}" for i in range(300)]
     copies = [(9010 + i, " ".join([*base[:150], f"new{i}", *base[151:]]), "en", "s", 1) for i in range(4)]
     kept = stages["jaccard_join"](spark, more(*copies, copies[0], copies[0]), sf_dir)
-    expected = _components([*((r["doc_id"], r["text"]) for r in good), *((c[0], c[1]) for c in copies)])
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, c in expected.values()})
+    expected = _linked_by_shingles([*((r["doc_id"], r["text"]) for r in good), *((c[0], c[1]) for c in copies)], 5, 80)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(expected.values()))
 
     passage = " ".join(f"p{i}" for i in range(150))
-    rows = [(9020, "one " + passage + " uno", "en", "s", 1), (9021, "two " + passage + " due", "en", "s", 1)]
+    rows = [(9020, "one " + passage + " uno", "en", "s", 1), (9021, "two\n" + passage + " due", "en", "s", 1)]
     cut = stages["suffix_dedup"](spark, more(*rows), sf_dir)
     texts = {r["doc_id"]: r for r in cut.collect()}
-    assert (texts[9020]["text"], texts[9021]["text"]) == ("one" + "uno", "two" + "due") or passage not in texts[9020]["text"]
+    assert texts[9020]["text"].split() == ["one", "uno"] and texts[9021]["text"].split() == ["two", "due"]
     assert texts[9020]["n_chars"] == len(texts[9020]["text"]) and cut.columns == columns
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "language_id", "jaccard_join", "suffix_dedup", "pack"]
 
