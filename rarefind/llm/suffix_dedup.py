@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from rarefind.llm.bloom import build_bloom
 from rarefind.llm.byte_windows import CHUNK, SliceHashes, anchors
-from rarefind.llm.common import Memo, map_batches, stored
+from rarefind.llm.common import Memo, discard, map_batches, stored
 
 WINDOW = 400
 CORE_SHARE = 0.32
@@ -214,9 +214,12 @@ def _windows(blocks: DataFrame, window: int, unit: np.dtype) -> DataFrame:
 
 
 def _buckets(rows: DataFrame, key: list[str], value: str) -> DataFrame:
-    """Buckets with more than one row: the key, and whether all values are equal."""
+    """Buckets with more than one row: the key, and whether all values are equal; stored.
+
+    Rows then meet a stored table of keys in a plain join, which Spark splits where a bucket is large.
+    """
     counted = rows.groupBy(*key).agg(F.count("*").alias("_n"), F.min(value).alias("_a"), F.max(value).alias("_b"))
-    return counted.filter(F.col("_n") > 1).select(*key, (F.col("_a") == F.col("_b")).alias("alike"))
+    return stored(counted.filter(F.col("_n") > 1).select(*key, (F.col("_a") == F.col("_b")).alias("alike")), "buckets")
 
 
 def repeated_runs(
@@ -231,7 +234,9 @@ def repeated_runs(
     texts = _texts(docs, id_col, text_col)
     core = max(1, round(window * CORE_SHARE))
     runs = stored(_runs(texts, window, core, unit), "runs")
-    tied = stored(runs.join(_buckets(runs, ["core"], "whole"), "core"), "tied_runs")
+    of_core = _buckets(runs, ["core"], "whole")
+    tied = stored(runs.join(of_core, "core"), "tied_runs")
+    discard(runs, of_core)
 
     place = ["_id", "_hash", "first", "count"]
     alike = tied.filter("alike").select(*place)
@@ -239,14 +244,17 @@ def repeated_runs(
     kinds = mixed.groupBy("core", "whole").agg(
         F.count("*").alias("copies"), F.min(F.struct(*place, "inside")).alias("run")
     )
+    kinds = stored(kinds, "run_kinds")
     copied = mixed.join(kinds.filter("copies > 1").select("core", "whole"), ["core", "whole"]).select(*place)
 
     one_each = kinds.select("core", "run.*")
     cut = _bytes_of_runs(texts, one_each, window, unit).withColumn("ref", F.monotonically_increasing_id())
     cut = stored(cut, "run_bytes")
     blocks = stored(_blocks(cut, window, block, unit), "blocks")
-    met = blocks.join(_buckets(blocks, ["core", "place", "shared"], "union"), ["core", "place", "shared"])
+    of_block = _buckets(blocks, ["core", "place", "shared"], "union")
+    met = blocks.join(of_block, ["core", "place", "shared"])
     met = stored(met.select("ref", "core", "start", "windows", "alike"), "met_blocks")
+    discard(blocks, of_block)
     even = met.filter("alike").select("ref", F.col("start").alias("at"), F.col("windows").alias("n"))
 
     width = unit.itemsize
@@ -255,12 +263,15 @@ def repeated_runs(
     open_blocks = met.filter("NOT alike").join(cut.select("ref", "data"), "ref").withColumn("data", bytes_of_block)
     single = stored(_windows(open_blocks, window, unit), "windows")
     equal = single.groupBy("core", "bytes_hash").count().filter("count > 1").select("core", "bytes_hash")
+    equal = stored(equal, "equal_windows")
     last = single.join(equal, ["core", "bytes_hash"]).select("ref", "at", F.lit(1).cast("bigint").alias("n"))
 
     compared = even.unionByName(last).join(cut.select("ref", "_id", "_hash", "first"), "ref").select(
         "_id", "_hash", (F.col("first") + F.col("at")).alias("first"), F.col("n").alias("count")
     )
-    return stored(alike.unionByName(copied).unionByName(compared), "repeated")
+    found = stored(alike.unionByName(copied).unionByName(compared), "repeated")
+    discard(tied, kinds, cut, met, single, equal)
+    return found
 
 
 def remove_repeats(
@@ -277,8 +288,8 @@ def remove_repeats(
     word to its last; what stands between words is not compared.
 
     Columns: id, n_bytes, n_removed, n_spans (maximal removed stretches), kept_sha256. With ``with_kept``
-    also ``kept``, the text that is left (a character cut in two goes), and ``row``, a struct of the input
-    columns. Texts are UTF-8; a null text counts as empty. Both copies of a window go, within one text or
+    also ``kept``, the text that is left (a character cut in two goes; one space stands where a cut would join two
+    words), and ``row``, a struct of the input columns. Texts are UTF-8; a null text counts as empty. Both copies of a window go, within one text or
     across texts; windows are judged on the input. Rows that are equal in id and text count as separate
     texts. Ids may be null or repeat. Texts shorter than the window stay whole.
 
@@ -314,9 +325,11 @@ def remove_repeats(
             rows = []
             for i in range(batch.num_rows):
                 data = batch.column(1)[i].as_buffer().to_pybytes()
-                kept, spans = without_runs(data, batch.column(2)[i].as_py() or [], window, word_window)
+                parts = parts_without_runs(data, batch.column(2)[i].as_py() or [], window, word_window)
+                kept = b"".join(parts)
+                text = with_words_apart(parts).decode("utf-8", "ignore") if with_kept else ""
                 digest = hashlib.sha256(kept).hexdigest()
-                rows.append((len(data), len(data) - len(kept), spans, digest, kept.decode("utf-8", "ignore")))
+                rows.append((len(data), len(data) - len(kept), len(parts) - 1, digest, text))
             columns = [batch.column(0), *[pa.array([r[j] for r in rows], pa.int64()) for j in range(3)]]
             columns += [pa.array([r[j] for r in rows], pa.string()) for j in (3, 4)]
             yield pa.RecordBatch.from_arrays([*columns, batch.column(3)], names=more)
@@ -327,8 +340,8 @@ def remove_repeats(
     return clean.unionByName(removed).select(*names)
 
 
-def without_runs(data: bytes, runs: list[dict], window: int, word_window: int | None = None) -> tuple[bytes, int]:
-    """The bytes outside all windows of the runs, and the number of maximal stretches taken out."""
+def parts_without_runs(data: bytes, runs: list[dict], window: int, word_window: int | None = None) -> list[bytes]:
+    """The bytes before, between and after the maximal stretches that windows of the runs cover."""
     stretches = [(r["first"], r["first"] + r["count"] + window - 1) for r in runs if not r["in_words"]]
     of_words = [r for r in runs if r["in_words"]]
     if of_words:
@@ -336,14 +349,22 @@ def without_runs(data: bytes, runs: list[dict], window: int, word_window: int |
         stretches += [
             (int(starts[r["first"]]), int(stops[r["first"] + r["count"] + word_window - 2])) for r in of_words
         ]
-    kept, at, spans = [], 0, 0
-    end = -1
+    kept, at, end = [], 0, -1
     for first, stop in sorted(stretches):
         if first > end:
             kept.append(data[at:first])
-            spans += 1
             end = at = stop
         elif stop > end:
             end = at = stop
     kept.append(data[at:])
-    return b"".join(kept), spans
+    return kept
+
+
+def with_words_apart(parts: list[bytes]) -> bytes:
+    """The parts joined, with a space where two words would meet."""
+    out = bytearray(parts[0])
+    for part in parts[1:]:
+        if out and part and not out[-1:].isspace() and not part[:1].isspace():
+            out += b" "
+        out += part
+    return bytes(out)
