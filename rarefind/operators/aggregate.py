@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,10 @@ from rarefind.operators.quantiles import exact_quantiles, number_or_null
 PUBLISHED_BINS = 50
 PUBLISHED_TOP_FEATURES = 30
 
+#: Predictions packed into one word, two bits each, and predictions counted in one pass over a table.
+TRIALS_PER_WORD = 4
+TRIALS_PER_SCAN = 96
+
 
 def _count(condition: Column, name: str) -> Column:
     return F.count_if(condition).alias(name)
@@ -56,31 +61,63 @@ def confusion_counts(
     )
 
 
+def packed_counts(df: DataFrame, group: Sequence[str], predictions: Sequence[Column]) -> DataFrame:
+    """How often each 0/1 prediction was 1, and was 0: columns (group, i, ones, zeros).
+
+    A row's predictions are packed into words of ``TRIALS_PER_WORD``, two bits each, and words are counted. A word has at
+    most 256 values, so there are at most 256 groups for each word and group, however many rows there are and however
+    little the predictions have to do with each other. ``TRIALS_PER_SCAN`` bounds the code of one pass; more
+    predictions take more passes. Null predictions count as neither.
+    """
+    bits = 2 * TRIALS_PER_WORD
+
+    def word(some: Sequence[Column]) -> Column:
+        value = F.lit(0)
+        for k, p in enumerate(some):
+            value = value + F.when(p == 1, 1 << 2 * k).when(p == 0, 2 << 2 * k).otherwise(0)
+        return value.cast("smallint")
+
+    parts = []
+    for at in range(0, len(predictions), TRIALS_PER_SCAN):
+        some = predictions[at : at + TRIALS_PER_SCAN]
+        words = [word(some[k : k + TRIALS_PER_WORD]) for k in range(0, len(some), TRIALS_PER_WORD)]
+        each = df.select(*group, F.posexplode(F.array(*words)).alias("_w", "_word"))
+        counted = each.groupBy(*group, "_w", "_word").agg(F.count("*").alias("_n"))
+        parts.append(counted.withColumn("_w", F.col("_w") + at // TRIALS_PER_WORD))
+    kinds = reduce(DataFrame.unionByName, parts)
+    places = F.explode(F.array(*[F.lit(k) for k in range(0, bits, 2)])).alias("_at")
+    single = kinds.select(*group, "_w", "_n", "_word", places)
+    said = F.expr("shiftright(CAST(_word AS int), _at)").bitwiseAND(F.lit(3))
+    i = F.col("_w") * TRIALS_PER_WORD + F.col("_at") / 2
+    return (
+        single.groupBy(*group, i.cast("int").alias("i"))
+        .agg(
+            F.sum(F.when(said == 1, F.col("_n")).otherwise(0)).alias("ones"),
+            F.sum(F.when(said == 2, F.col("_n")).otherwise(0)).alias("zeros"),
+        )
+        .filter(F.col("i") < len(predictions))
+    )
+
+
 def fold_confusion(
     scored: DataFrame, predictions: dict[int, Column], fold: str, label: str = "label"
 ) -> DataFrame:
-    """tp, fp and fn of many trials in one pass: columns (trial, fold, tp, fp, fn).
+    """tp, fp and fn of many trials: columns (trial, fold, tp, fp, fn).
 
-    ``predictions`` maps a trial's number to its 0/1 prediction. Rows are counted by fold, label and the array
-    of all predictions, of which there are few kinds; these groups are unfolded into trials afterwards. The
-    table is read once whatever the number of trials.
+    ``predictions`` maps a trial's number to its 0/1 prediction, null where a row does not count for it. See
+    ``packed_counts`` for how often the table is read.
     """
-    said = F.array(*[p.cast("tinyint") for p in predictions.values()])
-    kinds = scored.groupBy(fold, F.col(label).alias("_truth"), said.alias("_said")).agg(F.count("*").alias("_n"))
-    unfolded = kinds.select(fold, "_truth", "_n", F.posexplode("_said").alias("_i", "_p"))
+    truth = scored.withColumn("_truth", F.col(label))
+    counts = packed_counts(truth, [fold, "_truth"], list(predictions.values()))
+    trial = F.get(F.array(*[F.lit(t) for t in predictions]), F.col("i"))
 
-    def total(condition: Column, name: str) -> Column:
-        return F.sum(F.when(condition, F.col("_n")).otherwise(0)).alias(name)
+    def total(condition: Column, count: str, name: str) -> Column:
+        return F.sum(F.when(condition, F.col(count)).otherwise(0)).alias(name)
 
-    truth, p = F.col("_truth"), F.col("_p")
-    trial = F.get(F.array(*[F.lit(t) for t in predictions]), F.col("_i"))
+    is_true, is_false = F.col("_truth") == 1, F.col("_truth") == 0
     return (
-        unfolded.groupBy("_i", fold)
-        .agg(
-            total((p == 1) & (truth == 1), "tp"),
-            total((p == 1) & (truth == 0), "fp"),
-            total((p == 0) & (truth == 1), "fn"),
-        )
+        counts.groupBy("i", fold)
+        .agg(total(is_true, "ones", "tp"), total(is_false, "ones", "fp"), total(is_true, "zeros", "fn"))
         .select(trial.alias("trial"), fold, "tp", "fp", "fn")
     )
 

@@ -233,6 +233,16 @@ def _support(flag: str) -> str:
     )
 
 
+def _trial_counts(n_maps: int) -> str:
+    """Trials of a search over three rates and folds: how many, and the positives of their validation rows."""
+    rates = ", ".join(f"(CAST({r} AS double))" for r in PUBLISHED_RATES)
+    return f"""{_with(_TXN)}SELECT rate, fold, CAST({n_maps} AS bigint) AS trials,
+       CAST({n_maps} * count(*) FILTER (Class = 1) AS bigint) AS positives, true AS quality_ok
+FROM (SELECT Class, CAST(floor({_u("fold:")} * 3) AS int) AS fold FROM txn WHERE {_u("split:")} < 0.6),
+     (VALUES {rates}) AS r(rate)
+GROUP BY rate, fold"""
+
+
 _SQL = {
     "read_raw_csv": _raw("null", _QUOTED),
     "drop_header_rows": _raw("null", _QUOTED),
@@ -346,6 +356,8 @@ SELECT doc_id, quality, label FROM docs JOIN codes USING (quality)""",
 SELECT Class AS label, CAST(count(*) AS bigint) AS n, true AS quality_ok
 FROM halves WHERE rn > n // 2 GROUP BY Class""",
     "tune_imbalanced": _support("quality_ok"),
+    "tune_forest_axes": _trial_counts(16),
+    "tune_boosting_axes": _trial_counts(15),
     "score": _support("predictions_ok").replace(
         "AS predictions_ok", "AS predictions_ok, true AS probabilities_ok"
     ),

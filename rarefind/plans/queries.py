@@ -505,6 +505,46 @@ def tune_imbalanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quality(features.score(found.model, test), (0.98, 0.95))
 
 
+def _axis_search(spark: SparkSession, sf_dir: str, estimator, axes: dict, size: str, sizes: list[int]) -> search.SearchResult:
+    """All rates and three folds over the first value of every axis and over each other value alone, in all sizes."""
+    train_rows, _ = _split(spark, sf_dir)
+    first = {name: values[0] for name, values in axes.items()}
+    shapes = [first, *({**first, name: v} for name, values in axes.items() for v in values[1:])]
+    maps = [m for s in shapes for m in train.param_grid(estimator, {**{k: [v] for k, v in s.items()}, size: sizes})]
+    return search.tune_imbalanced(
+        train_rows,
+        estimator,
+        maps,
+        search.PUBLISHED_RATES,
+        search.PUBLISHED_LIBRARY_FOLDS,
+        keys=fx.HASH_KEYS,
+        features=fx.FEATURES,
+    )
+
+
+def _trial_counts(found: search.SearchResult) -> DataFrame:
+    """Per rate and fold: trials, positives that they were asked about, and whether the best of them finds them."""
+    return found.trials.groupBy("rate", "fold").agg(
+        F.count("*").alias("trials"),
+        F.sum(F.col("tp") + F.col("fn")).alias("positives"),
+        (F.max("metric") >= 0.8).alias("quality_ok"),
+    )
+
+
+@_query
+def tune_forest_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every axis of the published forest grid; four sizes come out of each fit."""
+    axes = {"maxDepth": [6, 3], "minInfoGain": [0.0, 0.001], "minInstancesPerNode": [1, 3]}
+    return _trial_counts(_axis_search(spark, sf_dir, train.random_forest(spark), axes, "numTrees", [2, 5, 10, 12]))
+
+
+@_query
+def tune_boosting_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every axis of the published boosting grid; three numbers of rounds come out of each fit."""
+    axes = {"maxDepth": [4, 2], "minInfoGain": [0.0, 0.001], "minInstancesPerNode": [1, 3], "stepSize": [0.5, 0.1]}
+    return _trial_counts(_axis_search(spark, sf_dir, train.gradient_boosted_trees(spark), axes, "maxIter", [1, 2, 3]))
+
+
 @_query
 def score_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     train_rows, test = _split(spark, sf_dir)
