@@ -28,40 +28,115 @@ NOTICES = {
     "redistribution and use in source and binary forms": "bsd",
     "mozilla public license version 2": "mpl-2",
     "creative commons attribution": "cc-by",
+    "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons attribution share alike": "cc-by-sa",
+    "creative commons attribution noncommercial": "cc-by-nc",
+    "creative commons attribution non commercial": "cc-by-nc",
     "cc by sa": "cc-by-sa",
-    "all rights reserved": "proprietary",
+    "permission to use copy modify and or distribute this software for any purpose": "isc",
+    "permission to use copy modify and distribute this software for any purpose": "isc",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "boost software license version 1": "bsl-1",
+    "eclipse public license": "epl",
+    "european union public licence": "eupl",
+    "common development and distribution license": "cddl",
+    "sil open font license": "ofl",
+    "open database license": "odbl",
+    "business source license": "busl",
+    "server side public license": "sspl",
 }
 
+#: Words that keep every right. They say so only where nothing else in the text grants any: the usual headers of free
+#: licences start with them.
+RESERVATIONS = {"all rights reserved": "proprietary"}
+
 TAG = "spdx license identifier"
 
 #: Labels of identifiers in tags, and how freely each licence lets a text be used (1: freely).
 IDENTIFIERS = {
-    "mit": "mit",
+    "0bsd": "0bsd",
+    "agpl-1.0": "agpl",
+    "agpl-3.0": "agpl",
+    "apache-1.1": "apache-1",
     "apache-2.0": "apache-2",
+    "artistic-2.0": "artistic-2",
     "bsd-2-clause": "bsd",
     "bsd-3-clause": "bsd",
-    "cc0-1.0": "cc0",
+    "bsd-3-clause-clear": "bsd",
+    "bsd-4-clause": "bsd",
+    "bsl-1.0": "bsl-1",
+    "busl-1.1": "busl",
+    "cc-by-3.0": "cc-by",
     "cc-by-4.0": "cc-by",
-    "cc-by-sa-4.0": "cc-by-sa",
+    "cc-by-nc-3.0": "cc-by-nc",
     "cc-by-nc-4.0": "cc-by-nc",
-    "mpl-2.0": "mpl-2",
-    "lgpl-3.0": "lgpl",
+    "cc-by-nc-nd-4.0": "cc-by-nc",
+    "cc-by-nc-sa-4.0": "cc-by-nc",
+    "cc-by-nd-4.0": "cc-by-nd",
+    "cc-by-sa-3.0": "cc-by-sa",
+    "cc-by-sa-4.0": "cc-by-sa",
+    "cc0-1.0": "cc0",
+    "cddl-1.0": "cddl",
+    "cddl-1.1": "cddl",
+    "epl-1.0": "epl",
+    "epl-2.0": "epl",
+    "eupl-1.2": "eupl",
     "gpl-2.0": "gpl-2",
     "gpl-3.0": "gpl-3",
-    "agpl-3.0": "agpl",
+    "isc": "isc",
+    "lgpl-2.0": "lgpl",
+    "lgpl-2.1": "lgpl",
+    "lgpl-3.0": "lgpl",
+    "mit": "mit",
+    "mit-0": "mit",
+    "mpl-1.1": "mpl-1",
+    "mpl-2.0": "mpl-2",
+    "ms-pl": "ms-pl",
+    "ncsa": "ncsa",
+    "odbl-1.0": "odbl",
+    "ofl-1.1": "ofl",
+    "postgresql": "postgresql",
+    "psf-2.0": "python",
+    "python-2.0": "python",
+    "sspl-1.0": "sspl",
+    "unlicense": "unlicense",
+    "wtfpl": "wtfpl",
+    "x11": "mit",
+    "zlib": "zlib",
 }
 FREEDOM = {
+    "0bsd": 1.0,
     "cc0": 1.0,
+    "unlicense": 1.0,
+    "wtfpl": 1.0,
     "mit": 1.0,
     "bsd": 1.0,
+    "isc": 1.0,
+    "zlib": 1.0,
+    "bsl-1": 1.0,
+    "ncsa": 1.0,
+    "postgresql": 1.0,
+    "python": 0.95,
+    "apache-1": 0.95,
     "apache-2": 0.95,
     "cc-by": 0.9,
+    "artistic-2": 0.8,
+    "ofl": 0.8,
+    "ms-pl": 0.7,
+    "mpl-1": 0.7,
     "mpl-2": 0.7,
+    "cddl": 0.65,
+    "epl": 0.65,
+    "eupl": 0.6,
     "cc-by-sa": 0.6,
     "lgpl": 0.6,
+    "odbl": 0.6,
     "gpl-2": 0.4,
     "gpl-3": 0.4,
     "agpl": 0.3,
+    "sspl": 0.2,
+    "busl": 0.2,
+    "cc-by-nd": 0.2,
     "cc-by-nc": 0.2,
     "proprietary": 0.0,
 }
@@ -88,10 +163,13 @@ class Terms:
     freedom: float
 
 
+def _labelled(label: str) -> Terms:
+    return Terms(frozenset([label]), FREEDOM.get(label, UNKNOWN_FREEDOM))
+
+
 def _licence(identifier: str) -> Terms:
     name = re.sub(r"(-only|-or-later|\+)$", "", identifier)
-    label = IDENTIFIERS.get(name, name)
-    return Terms(frozenset([label]), FREEDOM.get(label, UNKNOWN_FREEDOM))
+    return _labelled(IDENTIFIERS.get(name, name))
 
 
 def _apply(operator: str, left: _Operand, right: _Operand) -> _Operand:
@@ -179,24 +257,38 @@ class LicenceScanner:
     whole words, and counting spaces before a hit gives its word number.
     """
 
-    def __init__(self, base: dict[str, str], notices: dict[str, str]):
+    def __init__(self, base: dict[str, str], notices: dict[str, str], reservations: dict[str, str] = RESERVATIONS):
         import ahocorasick
 
         self._automaton = ahocorasick.Automaton()
-        for phrase in {*base, *notices, TAG}:
+        for phrase in {*base, *notices, *reservations, TAG}:
             self._automaton.add_word(f" {phrase} ", phrase)
         self._automaton.make_automaton()
-        self._base, self._labels = base, {**notices, **base}
+        self._base, self._labels, self._reservations = base, {**notices, **base}, reservations
+
+    def _granting(self, hits: list[tuple[int, str]]) -> set[str]:
+        """Phrases of (end, phrase) that grant something, without notices inside a longer one."""
+        granting, start = set(), None
+        for end, phrase in sorted(hits, key=lambda h: (-h[0], -len(h[1]))):
+            own = end - len(phrase)
+            inside = start is not None and start <= own
+            if not inside:
+                start = own
+            if phrase in self._base or not inside:
+                granting.add(phrase)
+        return granting
 
     def scan(self, text: str | None) -> tuple:
         """(n_words, n_base, first_word, last_word, base_labels, labels, score)"""
         lowered = lower_ascii(text or "")
         found = _WORD.findall(lowered)
         joined = f" {' '.join(found)} "
-        base_at, phrases = [], set()
+        base_at, hits, phrases = [], [], set()
         at, place = 0, 0
         for end, phrase in self._automaton.iter(joined):
             phrases.add(phrase)
+            if phrase in self._labels:
+                hits.append((end, phrase))
             if phrase in self._base:
                 start = end - len(phrase) - 1
                 if start >= place:
@@ -205,11 +297,11 @@ class LicenceScanner:
                     base_at.append(at)
                 else:
                     base_at.append(joined.count(" ", 0, start))
-        terms = [Terms(frozenset([x]), FREEDOM.get(x, UNKNOWN_FREEDOM)) for x in sorted(
-            {self._labels[p] for p in phrases if p != TAG}
-        )]
+        terms = [_labelled(x) for x in {self._labels[p] for p in self._granting(hits)}]
         if TAG in phrases:
             terms += tag_expressions(lowered)
+        if not terms:
+            terms = [_labelled(self._reservations[p]) for p in phrases if p in self._reservations]
         labels = sorted({label for t in terms for label in t.labels})
         base_labels = sorted({self._base[p] for p in phrases if p in self._base})
         return (
@@ -234,7 +326,8 @@ def scan_licences(
 
     Columns: id, n_words, n_base, first_word, last_word, base_labels, labels, score. Words are runs of
     ASCII letters and digits and of all characters beyond ASCII, A-Z in lower case. ``score`` is how freely
-    the strictest notice or tag lets the text be used; 0.5 where nothing is known. A null or empty text has
+    the strictest notice or tag lets the text be used; 0.5 where nothing is known. A notice inside a longer one does not
+    count, base phrases always do, and reserved rights count only in a text that grants nothing. A null or empty text has
     no words, empty labels and null places. No shuffle; ids may be null or repeat.
     """
     fields = [

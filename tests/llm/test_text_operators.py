@@ -225,6 +225,79 @@ def test_licence_expressions(text, labels, freedom):
     assert math.isclose(terms.freedom, freedom)
 
 
+_HEADERS = {
+    "bsd": "Copyright (c) 2020, Some One. All rights reserved. Redistribution and use in source and binary forms, with or "
+    "without modification, are permitted provided that the following conditions are met:",
+    "mit": "Copyright (c) 2020 Some One. All rights reserved. Permission is hereby granted, free of charge, to any person "
+    "obtaining a copy of this software",
+    "apache-2": 'Copyright 2020 Some One. All Rights Reserved. Licensed under the Apache License, Version 2.0 (the "License")',
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+    "granted. All rights reserved.",
+    "epl": "SPDX-License-Identifier: EPL-2.0\nAll rights reserved.",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "cc-by-nc": "Creative Commons Attribution-NonCommercial 4.0",
+    "proprietary": "Copyright 2020 Some One. All rights reserved.",
+}
+
+
+@pytest.mark.parametrize("label", _HEADERS)
+def test_usual_headers(label):
+    """Reserved rights count only where nothing is granted, and a notice inside a longer one does not count."""
+    scanner = licenses.LicenceScanner(licenses.BASE_PHRASES, licenses.NOTICES)
+    assert scanner.scan(_HEADERS[label])[5:] == (label, licenses.FREEDOM[label])
+
+
+_NAMES = st.sampled_from(["MIT", "gpl-3.0-only", "GPL-2.0+", "AGPL-3.0-or-later", "EPL-2.0", "own-1", "CC-BY-NC-4.0"])
+_EXPRESSIONS = st.recursive(
+    _NAMES,
+    lambda inner: st.one_of(
+        st.tuples(inner, st.sampled_from([" OR ", " and ", " WITH "]), inner).map("".join), inner.map("({})".format)
+    ),
+    max_leaves=12,
+)
+
+
+def _by_descent(text):
+    """A second parser: OR of ANDs of WITHs, read by one function for each level."""
+    tokens = re.findall(r"[()]|[^()\s]+", text.lower())
+
+    def operand():
+        if tokens[0] == "(":
+            tokens.pop(0)
+            value = level(0)
+            tokens.pop(0)
+            return value
+        name = tokens.pop(0).removesuffix("-only").removesuffix("-or-later").removesuffix("+")
+        label = licenses.IDENTIFIERS.get(name, name)
+        return {label}, licenses.FREEDOM.get(label, 0.5)
+
+    def level(i):
+        if i == 3:
+            return operand()
+        names, freedom = level(i + 1)
+        while tokens and tokens[0] == ("or", "and", "with")[i]:
+            tokens.pop(0)
+            others, other = level(i + 1)
+            if i == 2:
+                freedom += (1 - freedom) / 2
+            else:
+                names, freedom = names | others, (max, min)[i](freedom, other)
+        return names, freedom
+
+    return level(0)
+
+
+@settings(max_examples=300)
+@given(_EXPRESSIONS)
+def test_expressions_against_a_second_parser(text):
+    names, freedom = _by_descent(text)
+    terms = licenses.evaluate_expression(text.lower())
+    assert terms.labels == names and math.isclose(terms.freedom, freedom)
+    scanner = licenses.LicenceScanner(licenses.BASE_PHRASES, licenses.NOTICES)
+    found = scanner.scan(f"x SPDX-License-Identifier: {text}\nall rights reserved")
+    assert found[5] == ",".join(sorted(names)) and math.isclose(found[6], freedom)
+
+
 def test_no_licence_expression():
     assert [licenses.evaluate_expression(t) for t in ("", "OR MIT", "(", ")")] == [None] * 4
 
