@@ -22,7 +22,7 @@ from rarefind.llm.components import connected_components
 from rarefind.llm.queries import ORACLE_SQL, REGISTRY
 from rarefind.llm.rows import drop_rows, row_key
 from rarefind.llm.url_filter import Rule, build_cascade, filter_urls
-from rarefind.llm.vector_search import nearest_neighbours
+from rarefind.llm.vector_search import _grid, nearest_neighbours
 
 TOKENS = public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -383,10 +383,27 @@ def test_nearest_neighbours(spark, block_rows):
     assert nearest_neighbours(df.limit(0), F.lit(True)).collect() == []
 
 
-def test_repeated_ids_count_once(spark):
-    df = spark.createDataFrame([(0, [1.0]), (0, [1.0]), (1, [2.0]), (1, [2.0])], "vec_id bigint, embedding array<float>")
-    rows = nearest_neighbours(df, F.col("vec_id") == 0, block_rows=1).collect()
-    assert [tuple(r) for r in rows] == [(0, 1, 1, 1.0)]
+@pytest.mark.parametrize(("block_rows", "cells"), [(1, 10_000), (2, 3), (4096, 10_000)])
+def test_rows_that_share_an_id_are_all_candidates(spark, block_rows, cells):
+    rows = [(0, [1.0]), (1, [2.0]), (1, [9.0]), (2, [2.0]), (2, [2.0]), (0, [4.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    found = nearest_neighbours(df, F.col("vec_id") == 0, k=4, block_rows=block_rows, cells=cells).collect()
+    expected = []
+    for at, (_, q) in [(0, rows[0]), (5, rows[5])]:
+        near = sorted((abs(v[0] - q[0]), i) for j, (i, v) in enumerate(rows) if j != at)
+        expected += [(0, n + 1, i, d) for n, (d, i) in enumerate(near[:4])]
+    assert sorted(map(tuple, found)) == sorted(expected)
+
+
+def test_every_tile_is_a_cell_until_there_are_many(spark):
+    """Blocks on both sides meet once each, in partitions that grow with the tiles and not with one side alone."""
+    blocks = spark.createDataFrame([(2, b, [b], [b], [0.0, 0.0]) for b in range(12)], "dim int, b bigint, tags array<bigint>, ids array<bigint>, vectors array<double>")
+    for cells, fewest, most in ((10_000, 30, 60), (15, 6, 15), (1, 1, 2)):
+        grid = _grid(blocks.withColumnRenamed("b", "c_block"), blocks.filter("b < 5").withColumnRenamed("b", "q_block"), 12, 5, cells)
+        pairs = grid.select(F.get("tags", F.lit(0)).alias("c"), F.get("q_tags", F.lit(0)).alias("q"), F.spark_partition_id().alias("p"))
+        rows = pairs.collect()
+        assert sorted((r["c"], r["q"]) for r in rows) == [(c, q) for c in range(12) for q in range(5)]
+        assert fewest <= len({r["p"] for r in rows}) <= most
 
 
 # ---- pipeline ----
