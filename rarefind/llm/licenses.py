@@ -297,9 +297,9 @@ class LicenceScanner:
                     base_at.append(at)
                 else:
                     base_at.append(joined.count(" ", 0, start))
-        terms = [_labelled(x) for x in {self._labels[p] for p in self._granting(hits)}]
-        if TAG in phrases:
-            terms += tag_expressions(lowered)
+        terms = list(tag_expressions(lowered)) if TAG in phrases else []
+        tagged = {label for t in terms for label in t.labels}
+        terms += [_labelled(x) for x in {self._labels[p] for p in self._granting(hits)} - tagged]
         if not terms:
             terms = [_labelled(self._reservations[p]) for p in phrases if p in self._reservations]
         labels = sorted({label for t in terms for label in t.labels})
@@ -327,7 +327,8 @@ def scan_licences(
     Columns: id, n_words, n_base, first_word, last_word, base_labels, labels, score. Words are runs of
     ASCII letters and digits and of all characters beyond ASCII, A-Z in lower case. ``score`` is how freely
     the strictest notice or tag lets the text be used; 0.5 where nothing is known. A notice inside a longer one does not
-    count, base phrases always do, and reserved rights count only in a text that grants nothing. A null or empty text has
+    count, a licence that a tag's expression names counts through that expression, and reserved rights count only in a
+    text that grants nothing. Base phrases always give their label. A null or empty text has
     no words, empty labels and null places. No shuffle; ids may be null or repeat.
     """
     fields = [
