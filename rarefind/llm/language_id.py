@@ -9,7 +9,10 @@ Four kinds of evidence meet in one posterior for every page or document:
   suffix, and these by all.
 
 How far declarations, suffixes and hosts can be trusted is not assumed but counted, by grouped aggregates
-over the whole table, against what the texts alone say. A text's own vote is taken out of its prior.
+over the whole table, against what the texts alone say. A text's own vote is taken out of its prior. The trigram
+model, though, may have been trained on the texts that it judges; train it on others to measure it.
+
+Labels and declarations are compared by their primary subtag in lower case: ``EN``, ``en`` and ``en-GB`` are one.
 """
 
 from __future__ import annotations
@@ -40,9 +43,42 @@ NONE = "und"
 
 _BUCKET_BITS = 16
 _CHUNK = 1 << 20
-_HTML_HIDDEN = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->")
+_HIDDEN_START = re.compile(r"(?i)<(?:(script|style)\b|!--)")
+_HIDDEN_END = {
+    "script": re.compile(r"(?i)</script\s*>"),
+    "style": re.compile(r"(?i)</style\s*>"),
+    "": re.compile("-->"),
+}
 _HTML_TAG = re.compile(r"<[^>]*>")
-_HTML_LANG = r"(?i)<html[^>]*\blang\s*=\s*[\"']?([a-zA-Z]+)"
+_HTML_START = r"(?i)<html\b([^>]*)"
+_HTML_LANG = r"(?is)^.*\blang\s*=\s*[\"']?([a-zA-Z]+)"
+
+
+def language_code(label: Column) -> Column:
+    """The primary subtag of a language label in lower case; null for null or nothing."""
+    return F.nullif(F.lower(F.regexp_extract(label, r"^\s*([^\s_-]*)", 1)), F.lit(""))
+
+
+def visible_text(html: str) -> str:
+    """A page without scripts, styles, comments and tags, each replaced by a space.
+
+    What is never closed stays. Every character is looked at a few times at most, also where nothing is closed.
+    """
+    parts, at, unclosed = [], 0, set()
+    while (start := _HIDDEN_START.search(html, at)) is not None:
+        kind = (start[1] or "").lower()
+        end = None if kind in unclosed else _HIDDEN_END[kind].search(html, start.end())
+        if end is None:
+            unclosed.add(kind)
+            parts.append(html[at : start.end()])
+            at = start.end()
+        else:
+            parts += [html[at : start.start()], " "]
+            at = end.end()
+    text = "".join([*parts, html[at:]])
+    # Behind the last ">" no tag ends, and before it every "<" finds one.
+    closed = text.rfind(">") + 1
+    return _HTML_TAG.sub(" ", text[:closed]) + text[closed:]
 
 
 def _trigrams(text: str) -> Iterator[np.ndarray]:
@@ -90,12 +126,12 @@ def train_text_model(
     A trigram counts once for a text, and only if three texts of the language have it, so that one text
     with a wrong label teaches nothing.
 
-    Null languages, texts and ids take no part. Languages with fewer than three texts, or without a trigram in
+    Null languages, texts and ids take no part, and labels count by ``language_code``. Languages with fewer than three texts, or without a trigram in
     any drawn text, are left out; without any, all texts come out as none. Counts are summed in Spark: at most
     65,536 for a language.
     """
     known = docs.select(
-        F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
+        F.col(id_col).alias("id"), F.col(text_col).alias("text"), language_code(F.col(lang_col)).alias("lang")
     ).filter("id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
     wanted = F.least("_total", F.lit(max(max_texts, MIN_LANGUAGE_TEXTS)))
     texts, _ = exact_split(known, ["id"], wanted, by="lang")
@@ -146,7 +182,7 @@ def page_evidence(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     return pages.select(
         F.col(id_col).alias("id"),
         html.alias("text"),
-        F.nullif(F.lower(F.regexp_extract(html, _HTML_LANG, 1)), F.lit("")).alias("declared"),
+        language_code(F.regexp_extract(F.regexp_extract(html, _HTML_START, 1), _HTML_LANG, 1)).alias("declared"),
         F.concat(F.substring_index(host_of(url), ".", -1), folder).alias("suffix"),
         host_of(url).alias("host"),
         F.lit(True).alias("markup"),
@@ -164,7 +200,7 @@ def document_evidence(
     return docs.select(
         (F.col(id_col) if isinstance(id_col, str) else id_col).alias("id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-        F.lower(F.col(lang_col)).alias("declared"),
+        language_code(F.col(lang_col)).alias("declared"),
         F.lit("").alias("suffix"),
         F.coalesce(F.col(host_col), F.lit("")).alias("host"),
         F.lit(False).alias("markup"),
@@ -181,7 +217,7 @@ def _text_evidence(evidence: DataFrame, model: TextModel) -> DataFrame:
             for text, markup in zip(batch.column("text"), batch.column("markup").to_pylist()):
                 text = text.as_py()
                 if markup:
-                    text = _HTML_TAG.sub(" ", _HTML_HIDDEN.sub(" ", text))
+                    text = visible_text(text)
                 total, n = model.evidence(text)
                 likelihoods.append((total - total.max()).tolist())
                 grams.append(n)
@@ -200,9 +236,14 @@ def _text_evidence(evidence: DataFrame, model: TextModel) -> DataFrame:
 
 
 def _votes(scored: DataFrame, keys: Sequence[str], names: Sequence[str], alias: str) -> DataFrame:
-    """How many texts of each class the texts alone put under a key, as an array in the order of names."""
-    counts = [F.count_if(F.col("text_lang") == F.lit(x)).cast("double") for x in names]
-    return scored.groupBy(*keys).agg(F.array(*counts).alias(alias))
+    """How many texts of each class the texts alone put under a key, as an array in the order of names.
+
+    Counted by key and class first, so the work follows the classes that occur and not the number of names.
+    """
+    counted = scored.groupBy(*keys, "text_lang").agg(F.count("*").cast("double").alias("n"))
+    found = F.map_from_entries(F.collect_list(F.struct("text_lang", "n")))
+    by_class = F.transform(F.lit(list(names)), lambda x: F.coalesce(F.try_element_at(F.col("_found"), x), F.lit(0.0)))
+    return counted.groupBy(*keys).agg(found.alias("_found")).select(*keys, by_class.alias(alias))
 
 
 def _domain(host: Column) -> Column:
@@ -223,9 +264,11 @@ def identify_languages(evidence: DataFrame, model: TextModel) -> DataFrame:
     names = [*model.languages, NONE]
     scored = stored(_text_evidence(evidence, model), "text_evidence")
     scored = scored.withColumn("domain", _domain(F.col("host")))
-    zeros = F.array(*[F.lit(0.0)] * len(names))
-    total = F.lit([float(x) for x in _votes(scored, [], names, "v").first()["v"]])
-    own = F.array(*[(F.col("text_lang") == F.lit(x)).cast("double") for x in names])
+    zeros = F.array_repeat(F.lit(0.0), len(names))
+    n_of = {r["text_lang"]: float(r["count"]) for r in scored.groupBy("text_lang").count().collect()}
+    counts = [n_of.get(x, 0.0) for x in names]
+    shares = F.lit([(n + 1) / (sum(counts) + len(names)) for n in counts])
+    own = F.transform(F.lit(names), lambda x: (F.col("text_lang") == x).cast("double"))
 
     def smoothed(votes: Column, wider: Column) -> Column:
         """Votes without the row's own, drawn towards the wider level's shares."""
@@ -237,10 +280,10 @@ def identify_languages(evidence: DataFrame, model: TextModel) -> DataFrame:
     for keys, alias in ((["suffix"], "by_suffix"), (["domain"], "by_domain"), (["host"], "by_host")):
         joined = joined.join(_votes(scored, keys, names, alias), keys, "left")
     declared = _votes(scored.filter("declared IS NOT NULL"), ["declared"], names, "by_declared")
-    known = F.lower("declared").isin(model.languages) if model.languages else F.lit(False)
+    known = F.col("declared").isin(model.languages) if model.languages else F.lit(False)
     joined = joined.join(F.broadcast(declared.filter(known)), ["declared"], "left")
 
-    everyone = F.transform(total, lambda n: (n + 1.0) / (F.aggregate(total, F.lit(0.0), lambda s, x: s + x) + len(names)))
+    everyone = shares
     prior = everyone
     for level in ("by_suffix", "by_domain", "by_host"):
         prior = smoothed(F.coalesce(level, zeros), prior)

@@ -358,19 +358,99 @@ def test_language_of_pages_and_documents(spark):
     assert language_id.identify_languages(language_id.page_evidence(pages.limit(0)), model).collect() == []
 
 
-def test_language_evidence_moves_short_texts(spark):
-    """A text that fits two languages alike goes by what else is known of it."""
-    table = np.full((1 << 16, 3), -10.0, np.float32)
-    model = language_id.TextModel(["aa", "bb"], table)
-    table[:, 2] = -12
-    sure = table.copy()
-    rows = [(i, "word " * 3, "aa" if i % 2 else "bb", "", "host") for i in range(10)]
-    evidence = spark.createDataFrame(rows, "id bigint, text string, declared string, suffix string, host string")
+def _posteriors(rows, model):
+    """(lang, posterior) of every row in plain Python: votes without the own one, smoothed level by level."""
+    names = [*model.languages, language_id.NONE]
+    likelihoods, text_lang = [], []
+    for _, text, *_ in rows:
+        total, n = model.evidence(text)
+        likelihoods.append(total)
+        text_lang.append(names[int(total.argmax())] if n else language_id.NONE)
+
+    def domain(host):
+        return ".".join((host or "").split(".")[-2:]) if host is not None else None
+
+    total = {x: text_lang.count(x) for x in names}
+    everyone = {x: (total[x] + 1) / (len(rows) + len(names)) for x in names}
+    out = []
+    for i, (_, _, declared, suffix, host) in enumerate(rows):
+
+        def smoothed(level, value, wider):
+            others = [
+                text_lang[j] for j, r in enumerate(rows) if value is not None and j != i and level(r) == value
+            ]
+            size = len(others) + language_id.SMOOTHING
+            return {x: (others.count(x) + language_id.SMOOTHING * wider[x]) / size for x in names}
+
+        prior = smoothed(lambda r: r[3], suffix, everyone)
+        prior = smoothed(lambda r: domain(r[4]), domain(host), prior)
+        prior = smoothed(lambda r: r[4], host, prior)
+        said = smoothed(lambda r: r[2], declared if declared in model.languages else None, everyone)
+        logs = [likelihoods[i][k] + math.log(prior[x] * said[x] / everyone[x]) for k, x in enumerate(names)]
+        weights = [math.exp(x - max(logs)) for x in logs]
+        out.append((names[logs.index(max(logs))], 1 / sum(weights)))
+    return out
+
+
+@pytest.mark.parametrize("languages", [2, 60])
+def test_posterior_against_plain_python(spark, languages):
+    """Texts that fit several languages nearly alike go by what else is known of them."""
     from pyspark.sql import functions as F
 
+    rng = np.random.default_rng(languages)
+    table = rng.normal(-10, 0.4, (1 << 16, languages + 1)).astype(np.float32)
+    model = language_id.TextModel([f"l{i:02}" for i in range(languages)], table)
+    pick = lambda *choices: choices[rng.integers(len(choices))]
+    rows = [
+        (
+            i,
+            pick("", "ab", "some words", f"word {i} and more", "another text", "mno pqr"),
+            pick(None, "xx", *model.languages[:5]),
+            pick(None, "", "de", "com/en"),
+            pick(None, "", "a.example.com", "b.example.com", "c.org"),
+        )
+        for i in range(120)
+    ]
+    evidence = spark.createDataFrame(rows, "id bigint, text string, declared string, suffix string, host string")
     found = language_id.identify_languages(evidence.withColumn("markup", F.lit(False)), model).collect()
-    assert all(0.3 < r["posterior"] <= 1 for r in found)
-    assert sure.shape == table.shape
+    got = {r["id"]: (r["lang"], r["posterior"]) for r in found}
+    assert len(found) == len(rows)
+    for (i, *_), (lang, posterior) in zip(rows, _posteriors(rows, model)):
+        assert got[i][0] == lang and math.isclose(got[i][1], posterior, rel_tol=1e-6)
+
+
+def test_labels_of_any_case_and_region_are_one_language(spark):
+    docs = spark.createDataFrame(
+        [(i, t, x, "s", 0) for i, (t, x) in enumerate([("ein satz auf deutsch", "DE"), ("noch ein satz", "de-AT"),
+         ("und ein satz", " de_CH"), ("a sentence in english", "EN"), ("one more sentence", "en"),
+         ("and a sentence", "en-GB"), ("x", ""), ("y", None)])], DOCS)
+    model = language_id.train_text_model(docs)
+    assert model.languages == ["de", "en"]
+    evidence = {r["id"]: r["declared"] for r in language_id.document_evidence(docs).collect()}
+    assert [evidence[i] for i in range(8)] == ["de"] * 3 + ["en"] * 3 + [None] * 2
+    pages = spark.createDataFrame(
+        [(0, "x", '<HTML class="a" LANG="pt-BR">'), (1, "x", "<html xml:lang=en lang=DE>"), (2, "x", "<html><p lang=fr>"),
+         (3, "x", "<html" * 200_000)], "page_id bigint, url string, html string")
+    assert [r["declared"] for r in language_id.page_evidence(pages).orderBy("id").collect()] == ["pt", "de", None, None]
+
+
+@settings(max_examples=300)
+@given(st.lists(st.sampled_from(["<script>", "</script >", "<style a>", "</STYLE>", "<!--", "-->", "<p>", "<", ">", "x", "<scripts>"]), max_size=14))
+def test_visible_text(parts):
+    """The same as the plain expressions, which take quadratic time where nothing is closed."""
+    html = "".join(parts)
+    plain = re.sub(r"<[^>]*>", " ", re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ", html))
+    assert language_id.visible_text(html) == plain
+
+
+@pytest.mark.parametrize("part", ["<", "<script>", "<style><!--", "<!--", "<script></script "])
+def test_pages_that_close_nothing_take_linear_time(part):
+    import time
+
+    html = part * (1_000_000 // len(part))
+    began = time.process_time()
+    language_id.visible_text(html)
+    assert time.process_time() - began < 5
 
 
 def test_every_language_of_a_large_table_has_a_class(spark):
