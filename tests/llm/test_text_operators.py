@@ -251,7 +251,9 @@ _NAMES = st.sampled_from(["MIT", "gpl-3.0-only", "GPL-2.0+", "AGPL-3.0-or-later"
 _EXPRESSIONS = st.recursive(
     _NAMES,
     lambda inner: st.one_of(
-        st.tuples(inner, st.sampled_from([" OR ", " and ", " WITH "]), inner).map("".join), inner.map("({})".format)
+        st.tuples(inner, st.sampled_from([" OR ", " and "]), inner).map("".join),
+        inner.map("({})".format),
+        inner.map("({}) WITH Some-exception-2.0".format),
     ),
     max_leaves=12,
 )
