@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
     GBTClassifier,
     LinearSVC,
@@ -18,15 +18,17 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from rarefind.functions.hashing import unit_hash
 from rarefind.operators.skew import repeat_rows, spread
 from rarefind.sources.models import save_model
 from rarefind.sources.scratch import ensure_checkpoint_dir, stored
 
 SEED = 24
+HELD_OUT_SALT = "held-out:"
 
 # SVM settings, hidden layer widths, early-stopping rule of the published study.
 PUBLISHED_SVM = {"maxIter": 100, "regParam": 0.01}
@@ -56,6 +58,27 @@ def gradient_boosted_trees(spark: SparkSession, **settings) -> GBTClassifier:
     return GBTClassifier(**{**defaults, **settings})
 
 
+def held_out(keys: Sequence[str], share: float = 0.2) -> Column:
+    """True for a share of the rows, drawn by hash of the key; independent of splits, folds and samples."""
+    return unit_hash(keys, HELD_OUT_SALT) < share
+
+
+def self_stopping_trees(spark: SparkSession, indicator: str = "held_out", **settings) -> GBTClassifier:
+    """Boosting that decides its number of trees in one fit.
+
+    Trees are grown on the rows where ``indicator`` is false. After each one the loss on the others is taken, and the
+    first round that does not lower it ends the fit and is left out. ``maxIter`` is only the most there can be.
+    """
+    return gradient_boosted_trees(spark, validationIndicatorCol=indicator, **{"validationTol": 0.0, **settings})
+
+
+def indicator_of(estimator: Estimator) -> list[str]:
+    """The estimator's column of held-out rows, if it has one."""
+    name = "validationIndicatorCol"
+    used = estimator.hasParam(name) and estimator.isDefined(name)
+    return [estimator.getOrDefault(name)] if used else []
+
+
 def linear_svm(**settings) -> LinearSVC:
     """Hinge loss with L2, no intercept. Give z-scored features; they are not scaled again."""
     defaults = dict(fitIntercept=False, standardization=False, **PUBLISHED_SVM)
@@ -117,14 +140,14 @@ def fit_stored(
     """Fit a pipeline whose last stage is the estimator, reading the source twice at most.
 
     The stages before it are fitted first. Their output, reduced to label, features and weight, is written to the
-    shared folder, dealt into training partitions and held while the estimator makes its many passes.
+    shared folder, with the column of held-out rows if the estimator names one, dealt into training partitions and held while the estimator makes its many passes.
     ``partitions`` fixes how many there are: models depend on it, as bagging draws per partition. By
     default it follows the number of rows and of cores.
     """
     *before, estimator = pipeline.getStages()
     prepared = Pipeline(stages=before).fit(train)
     ready = prepared.transform(train)
-    columns = [c for c in ("label", "features", "weight") if c in ready.columns]
+    columns = [c for c in ("label", "features", "weight") if c in ready.columns] + indicator_of(estimator)
     rows = stored(ready.select(*columns), "training")
     even = rows.repartition(partitions) if partitions else spread(rows, rows.count())
     even = even.persist(StorageLevel.MEMORY_AND_DISK)

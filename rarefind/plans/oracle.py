@@ -344,6 +344,7 @@ SELECT doc_id, quality, label FROM docs JOIN codes USING (quality)""",
     "feature_stages": _support("quality_ok"),
     "train_random_forest": _support("quality_ok"),
     "train_gbt": _support("quality_ok"),
+    "train_gbt_early_stop": _support("quality_ok"),
     "train_linear_svm": _support("quality_ok"),
     "train_linear_svm_weighted": _support("quality_ok"),
     "train_mlp": _support("quality_ok"),
