@@ -17,6 +17,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import DenseVector, Vectors
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -188,6 +189,32 @@ def _accuracy_and_cost(scored: DataFrame) -> tuple[float, float | None]:
     return tuple(scored.agg(right, cost).first())
 
 
+_STATE = "round int, weights array<double>, kept array<double>, kept_round int, behind int, report array<struct<round int, train_accuracy double, validation_accuracy double, train_cost double, validation_cost double>>"
+
+
+def _with_weights(
+    estimator: MultilayerPerceptronClassifier, rows: DataFrame, weights: DenseVector
+) -> MultilayerPerceptronClassificationModel:
+    """The network of these weights: a fit that starts there and takes no step."""
+    still = estimator.copy({estimator.initialWeights: weights, estimator.maxIter: 0})
+    return still.fit(rows)
+
+
+def _save_state(spark: SparkSession, folder: str, state: tuple) -> None:
+    """One small table for each round; a round that was written in part has no success mark and does not count."""
+    table = spark.createDataFrame([state], _STATE).coalesce(1)
+    table.write.mode("overwrite").parquet(f"{folder}/round-{state[0]:06}")
+
+
+def _last_state(spark: SparkSession, folder: str) -> tuple | None:
+    """The state after the last whole round; None if there is none."""
+    context = spark.sparkContext
+    marks = context._jvm.org.apache.hadoop.fs.Path(f"{folder}/round-*/_SUCCESS")
+    found = marks.getFileSystem(context._jsc.hadoopConfiguration()).globStatus(marks)
+    rounds = sorted(f.getPath().getParent().toString() for f in found or [])
+    return tuple(spark.read.schema(_STATE).parquet(rounds[-1]).first()) if rounds else None
+
+
 def train_until_no_gain(
     train: DataFrame,
     validation: DataFrame,
@@ -199,6 +226,7 @@ def train_until_no_gain(
     floor: float = PUBLISHED_ACCURACY_FLOOR,
     save_to: str | None = None,
     before: Sequence[Transformer] = (),
+    resume_from: str | None = None,
 ) -> EarlyStopResult:
     """Short fits that go on from each other's weights until validation accuracy stops rising.
 
@@ -206,14 +234,28 @@ def train_until_no_gain(
     ``min_rounds``. A round above the floor that beats all before it is kept, and written to
     ``save_to`` if given: as a pipeline behind the stages in ``before``, so that the file alone scores new
     rows. The two sets are read from storage once and held for all rounds.
+
+    ``resume_from`` names a shared folder that gets weights, history and patience after every round. A call that finds
+    rounds there goes on behind the last whole one, so a lost driver costs one round, and a call on a finished folder gives
+    its result at the price of one short fit. The folder belongs to one training: rows and settings have to be the same.
     """
+    spark = train.sparkSession
     train = train.select("label", "features").persist(StorageLevel.MEMORY_AND_DISK)
     validation = validation.select("label", "features").persist(StorageLevel.MEMORY_AND_DISK)
     history: list[float] = []
     report: list[tuple] = []
-    kept, kept_round, weights, behind = None, None, None, 0
+    kept, kept_round, weights, behind, first = None, None, None, 0, 0
     try:
-        for round_number in range(max_rounds):
+        state = _last_state(spark, resume_from) if resume_from else None
+        if state is not None:
+            last, weights, kept_weights, kept_round, behind, report = state
+            weights, report, first = Vectors.dense(weights), [tuple(r) for r in report], last + 1
+            history = [r[2] for r in report]
+            if kept_weights is not None:
+                kept = _with_weights(estimator, train, Vectors.dense(kept_weights))
+        for round_number in range(first, max_rounds):
+            if history and behind >= patience:
+                break
             step = estimator.copy({estimator.maxIter: round_iters})
             if weights is not None:
                 step = step.copy({step.initialWeights: weights})
@@ -229,8 +271,10 @@ def train_until_no_gain(
             history.append(reached)
             below_best = reached < max(history) and round_number > min_rounds
             behind = behind + 1 if below_best else 0
-            if behind == patience:
-                break
+            if resume_from:
+                kept_weights = None if kept is None else kept.weights.toArray().tolist()
+                state = (round_number, weights.toArray().tolist(), kept_weights, kept_round, behind, report)
+                _save_state(spark, resume_from, state)
     finally:
         train.unpersist()
         validation.unpersist()

@@ -111,3 +111,20 @@ def test_a_save_that_fails_leaves_the_old_model(spark, vectors, tmp_path, monkey
     plain = str(tmp_path / "plain")
     second.write().save(plain)
     assert load_model(plain).coefficients == second.coefficients
+
+
+def test_training_goes_on_from_the_last_whole_round(spark, vectors, tmp_path):
+    rows = vectors.select("label", "features")
+    network = train.multilayer_perceptron(len(fx.FEATURES), layers=[len(fx.FEATURES), 4, 2])
+    settings = dict(round_iters=3, patience=2, min_rounds=1, floor=0.0)
+    straight = train.train_until_no_gain(rows, rows, network, max_rounds=4, **settings)
+    folder = str(tmp_path / "rounds")
+    cut = train.train_until_no_gain(rows, rows, network, max_rounds=2, resume_from=folder, **settings)
+    assert cut.history == straight.history[:2]
+    (tmp_path / "rounds" / "round-000002").mkdir()  # a round whose writing did not end
+    resumed = train.train_until_no_gain(rows, rows, network, max_rounds=4, resume_from=folder, **settings)
+    again = train.train_until_no_gain(rows, rows, network, max_rounds=4, resume_from=folder, **settings)
+    for result in (resumed, again):
+        assert result.history == straight.history and result.report == straight.report
+        assert result.best_round == straight.best_round
+        assert result.model.weights == straight.model.weights
