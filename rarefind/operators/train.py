@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from rarefind.functions.hashing import unit_hash
+from rarefind.operators.network import WeightedPerceptron
 from rarefind.operators.skew import repeat_rows, spread
 from rarefind.sources.models import save_model
 from rarefind.sources.scratch import ensure_checkpoint_dir, stored
@@ -92,6 +93,12 @@ def multilayer_perceptron(num_features: int, **settings) -> MultilayerPerceptron
     return MultilayerPerceptronClassifier(**{**defaults, **settings})
 
 
+def weighted_perceptron(num_features: int, **settings) -> WeightedPerceptron:
+    """The same layers, trained on the column ``weight`` with Adam; rows are not repeated."""
+    defaults = dict(layers=[num_features, *PUBLISHED_HIDDEN_LAYERS, 2], seed=SEED, weightCol="weight", stepSize=0.05)
+    return WeightedPerceptron(**{**defaults, **settings})
+
+
 # The published grids.
 FOREST_GRID = {
     "maxDepth": [8, 12, 15],
@@ -179,13 +186,14 @@ EARLY_STOP_REPORT = "round int, train_accuracy double, validation_accuracy doubl
 def _accuracy_and_cost(scored: DataFrame) -> tuple[float, float | None]:
     """Share of right predictions and mean cross entropy, in one pass; no cost without probabilities.
 
-    Rows repeated by weight are here as often as they weigh, so the cost is the weighted one.
+    Both count a row by its column ``weight``, if there is one. Rows repeated by weight count as often as they are there.
     """
-    right = F.avg((F.col("prediction") == F.col("label")).cast("double"))
+    weight = F.col("weight") if "weight" in scored.columns else F.lit(1.0)
+    right = F.sum(weight * (F.col("prediction") == F.col("label")).cast("double")) / F.sum(weight)
     cost = F.lit(None).cast("double")
     if "probability" in scored.columns:
         p = F.get(vector_to_array("probability"), F.col("label").cast("int"))
-        cost = F.avg(-F.ln(F.greatest(p, F.lit(1e-12))))
+        cost = F.sum(-weight * F.ln(F.greatest(p, F.lit(1e-12)))) / F.sum(weight)
     return tuple(scored.agg(right, cost).first())
 
 
@@ -193,7 +201,7 @@ _STATE = "round int, weights array<double>, kept array<double>, kept_round int,
 
 
 def _with_weights(
-    estimator: MultilayerPerceptronClassifier, rows: DataFrame, weights: DenseVector
+    estimator: MultilayerPerceptronClassifier | WeightedPerceptron, rows: DataFrame, weights: DenseVector
 ) -> MultilayerPerceptronClassificationModel:
     """The network of these weights: a fit that starts there and takes no step."""
     still = estimator.copy({estimator.initialWeights: weights, estimator.maxIter: 0})
@@ -218,7 +226,7 @@ def _last_state(spark: SparkSession, folder: str) -> tuple | None:
 def train_until_no_gain(
     train: DataFrame,
     validation: DataFrame,
-    estimator: MultilayerPerceptronClassifier,
+    estimator: MultilayerPerceptronClassifier | WeightedPerceptron,
     round_iters: int = 15,
     max_rounds: int = 1000,
     patience: int = PUBLISHED_PATIENCE,
@@ -233,14 +241,16 @@ def train_until_no_gain(
     Stops after ``patience`` rounds in a row below the best accuracy so far, counted once past
     ``min_rounds``. A round above the floor that beats all before it is kept, and written to
     ``save_to`` if given: as a pipeline behind the stages in ``before``, so that the file alone scores new
-    rows. The two sets are read from storage once and held for all rounds.
+    rows. The two sets are read from storage once and held for all rounds. A column ``weight`` of the training rows is kept
+    for estimators that use it.
 
     ``resume_from`` names a shared folder that gets weights, history and patience after every round. A call that finds
     rounds there goes on behind the last whole one, so a lost driver costs one round, and a call on a finished folder gives
     its result at the price of one short fit. The folder belongs to one training: rows and settings have to be the same.
     """
     spark = train.sparkSession
-    train = train.select("label", "features").persist(StorageLevel.MEMORY_AND_DISK)
+    weight = [c for c in ("weight",) if c in train.columns]
+    train = train.select("label", "features", *weight).persist(StorageLevel.MEMORY_AND_DISK)
     validation = validation.select("label", "features").persist(StorageLevel.MEMORY_AND_DISK)
     history: list[float] = []
     report: list[tuple] = []

@@ -348,6 +348,7 @@ SELECT doc_id, quality, label FROM docs JOIN codes USING (quality)""",
     "train_linear_svm": _support("quality_ok"),
     "train_linear_svm_weighted": _support("quality_ok"),
     "train_mlp": _support("quality_ok"),
+    "train_weighted_mlp": _support("quality_ok"),
     "train_until_no_gain": f"""{_with(
         _TXN,
         _ranked("PARTITION BY Class", "sample:"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from rarefind.functions.hashing import unit_hash
 from rarefind.functions.metrics import PUBLISHED_FP_SCALE
 from rarefind.operators import aggregate as agg
 from rarefind.operators import clean, features, project, sample, scale, score, search, train
+from rarefind.operators.network import PUBLISHED_KEEP
 from rarefind.plans import fixtures as fx
 from rarefind.plans.reports import clean_csv, fraud_report, network_study
 from rarefind.sources.delimited import drop_header_rows, read_raw_csv, read_typed_csv
@@ -490,10 +492,21 @@ def train_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quality(model.transform(test), (0.95, 0.95))
 
 
+@_query
+def train_weighted_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row weights as factors of the gradient, Adam and dropout; rows are stored once and none is repeated."""
+    train_rows, test = _scaled_vectors(spark, sf_dir)
+    weighed = scale.class_weight(train_rows).select("features", "label", "weight")
+    network = train.weighted_perceptron(len(fx.FEATURES), maxIter=100, keep=PUBLISHED_KEEP)
+    model = train.fit_stored(Pipeline(stages=[network]), weighed)
+    return _quality(model.transform(test), (0.95, 0.95))
+
+
 @_query
 def train_until_no_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # An answer of only negatives is right for 98.2% of the rows and does not pass the floor.
     study = network_study(
-        fx.txn(spark, sf_dir), _KEYS, round_iters=20, max_rounds=6, min_rounds=2, patience=2, floor=0.95
+        fx.txn(spark, sf_dir), _KEYS, round_iters=20, max_rounds=8, min_rounds=3, patience=3, floor=0.985
     )
     return _quality(study.scored, (0.95, 0.9))
 

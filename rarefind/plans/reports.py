@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Estimator, PipelineModel
+from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from rarefind.operators.aggregate import confusion_matrix
 from rarefind.operators.clean import clean
 from rarefind.operators.features import score
+from rarefind.operators.network import WeightedPerceptron
 from rarefind.operators.project import threshold_flags
 from rarefind.operators.sample import (
     exact_fraction_sample,
@@ -26,14 +28,14 @@ from rarefind.operators.search import (
     SearchResult,
     tune_imbalanced,
 )
+from rarefind.operators.skew import spread
 from rarefind.operators.train import (
     FOREST_GRID_SMALL,
     EarlyStopResult,
-    multilayer_perceptron,
     param_grid,
     random_forest,
-    repeat_by_weight,
     train_until_no_gain,
+    weighted_perceptron,
 )
 from rarefind.sources.delimited import read_raw_csv
 from rarefind.sources.scratch import fresh_path, stored
@@ -120,12 +122,15 @@ def network_study(
     train_fraction: float = 0.8,
     fit_on: str = "train",
     save_to: str | None = None,
+    estimator: MultilayerPerceptronClassifier | WeightedPerceptron | None = None,
     **stopping,
 ) -> NetworkStudy:
     """Flags, an exact share of each class for training, weights, z-scores, network, held-out halves.
 
     The rows outside the training sample are halved: one half steers early stopping, the other is
     scored with the kept weights. The prepared source is stored once, and every later pass reads that table.
+    The network is ``weighted_perceptron`` unless another estimator of the same kind is given; one that
+    takes no weights counts every row once.
     """
     data = threshold_flags(data.drop(*drop), flags) if flags else data.drop(*drop)
     data = stored(data, "study")
@@ -144,10 +149,11 @@ def network_study(
         return PipelineModel(stages=before).transform(df).drop(*[f"_z_{c}" for c in features])
 
     weighted = train.withColumn("weight", F.when(F.col(label) == 1, weight).otherwise(1.0))
+    rows = stored(vectors(weighted).select("label", "features", "weight"), "training")
     result = train_until_no_gain(
-        repeat_by_weight(vectors(weighted).select("label", "features", "weight"), "weight"),
+        spread(rows, rows.count()),
         vectors(validation),
-        multilayer_perceptron(len(features)),
+        estimator or weighted_perceptron(len(features)),
         save_to=save_to,
         before=before,
         **stopping,
