@@ -2,8 +2,8 @@
 
 Spark's own perceptron takes no weights, so a rare row has to be there as many times as it weighs. Here a weight is a factor
 of the row's gradient, and fractions keep their meaning. Rows become blocks of a matrix each, held by the executors.
-A step sends the network to the tasks (some thousand numbers), every task adds up the gradients of its blocks, groups of
-about the square root of all tasks are added up by one task each, and the driver takes one small row of each group.
+A step sends the network to the tasks (some thousand numbers) and every task adds up the gradients of its blocks. Sums of 64
+tasks each are added up by one more task, and the driver takes one small row of each such group.
 The outcome is a Spark ML model of the same network, which scores rows in the JVM and is saved like any other.
 """
 
@@ -36,7 +36,8 @@ PUBLISHED_SPREAD = 0.15
 BLOCK_ROWS = 1024
 _BETA_1, _BETA_2, _EPSILON = 0.9, 0.999, 1e-8
 _LEAST_SHARE = 1e-12
-_BLOCK = "x binary, y binary, w binary"
+_GROUP = 64
+_BLOCK = "i int, x binary, y binary, w binary"
 _SUMS = "part int, cost double, weight double, gradient binary"
 
 
@@ -122,7 +123,7 @@ def dropout_mask(seed: int, step: int, part: int, index: int, rows: int, width:
 
 
 def to_blocks(train: DataFrame, num_features: int, num_classes: int, weight: str | None = None) -> DataFrame:
-    """Matrices of up to 1,024 rows from the columns label, features and ``weight``.
+    """Matrices of up to 1,024 rows from the columns label, features and ``weight``; ``i`` numbers those of a partition.
 
     Rows without a label or features, and those whose weight is null, NaN or not above 0, take no part.
     """
@@ -132,6 +133,7 @@ def to_blocks(train: DataFrame, num_features: int, num_classes: int, weight: str
     )
 
     def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = 0
         for batch in batches:
             for start in range(0, batch.num_rows, BLOCK_ROWS):
                 part = batch.slice(start, BLOCK_ROWS)
@@ -143,32 +145,33 @@ def to_blocks(train: DataFrame, num_features: int, num_classes: int, weight: str
                     raise ValueError(f"labels have to be 0 to {num_classes - 1}")
                 weights = part.column("w").to_numpy(zero_copy_only=False)
                 cells = [[x.astype("f8").tobytes()], [y.tobytes()], [weights.astype("f8").tobytes()]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in cells], names=["x", "y", "w"])
+                arrays = [pa.array([index], pa.int32()), *[pa.array(c, pa.binary()) for c in cells]]
+                yield pa.RecordBatch.from_arrays(arrays, names=["i", "x", "y", "w"])
+                index += 1
 
     return rows.filter((F.col("w") > 0) & ~F.isnan("w")).mapInArrow(blocks, _BLOCK)
 
 
 def summed_gradient(
-    blocks: DataFrame, layers: Sequence[int], weights: np.ndarray, step: int = 0, batches: int = 1, keep: float = 1.0, seed: int = 0
+    blocks: DataFrame, layers: Sequence[int], weights: np.ndarray, step: int = 0, batches: int = 1, keep: float = 1.0, seed: int = 0,
+    group: int = _GROUP,
 ) -> tuple[float, float, np.ndarray]:
     """Cost, weight and gradient summed over the step's blocks: one in ``batches`` of each task's, in turn.
 
-    Parts are added in the order of their numbers, so the same blocks give the same bits again.
+    Parts are added in the order of their numbers, ``group`` of them by one task, so the same blocks give the same bits again.
     """
     layers, size = tuple(layers), num_weights(layers)
 
     def of_task(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, part, cost, weight, total = 0, None, 0.0, 0.0, np.zeros(size)
+        part, cost, weight, total = None, 0.0, 0.0, np.zeros(size)
         for batch in rows:
             for row in batch.to_pylist():
                 part = row["part"]
-                if (index + step) % batches == 0:
-                    y, w = np.frombuffer(row["y"], "i4"), np.frombuffer(row["w"], "f8")
-                    x = np.frombuffer(row["x"], "f8").reshape(len(y), layers[0])
-                    mask = dropout_mask(seed, step, part, index, len(y), layers[-2], keep)
-                    more, gradient = block_gradient(layers, weights, x, y, w, mask)
-                    cost, weight, total = cost + more, weight + float(w.sum()), total + gradient
-                index += 1
+                y, w = np.frombuffer(row["y"], "i4"), np.frombuffer(row["w"], "f8")
+                x = np.frombuffer(row["x"], "f8").reshape(len(y), layers[0])
+                mask = dropout_mask(seed, step, part, row["i"], len(y), layers[-2], keep)
+                more, gradient = block_gradient(layers, weights, x, y, w, mask)
+                cost, weight, total = cost + more, weight + float(w.sum()), total + gradient
         if part is not None:
             yield pa.RecordBatch.from_pylist(
                 [{"part": part, "cost": cost, "weight": weight, "gradient": total.tobytes()}],
@@ -183,10 +186,10 @@ def summed_gradient(
         sums = [parts["part"].iloc[0], math.fsum(parts["cost"]), math.fsum(parts["weight"]), total.tobytes()]
         return pd.DataFrame([sums], columns=["part", "cost", "weight", "gradient"])
 
-    tasks = blocks.select(F.spark_partition_id().alias("part"), "*").mapInArrow(of_task, _SUMS)
-    groups = math.isqrt(max(1, blocks.rdd.getNumPartitions()))
-    if groups > 1:
-        tasks = tasks.groupBy((F.col("part") % groups).alias("_group")).applyInPandas(of_group, _SUMS)
+    used = blocks.filter((F.col("i") + step) % batches == 0)
+    tasks = used.select(F.spark_partition_id().alias("part"), "*").mapInArrow(of_task, _SUMS)
+    if blocks.rdd.getNumPartitions() > group:
+        tasks = tasks.groupBy(F.floor(F.col("part") / group).alias("_group")).applyInPandas(of_group, _SUMS)
     found = sorted(tasks.collect(), key=lambda r: r["part"])
     gradient = sum((np.frombuffer(r["gradient"], "f8") for r in found), np.zeros(size))
     return math.fsum(r["cost"] for r in found), math.fsum(r["weight"] for r in found), gradient

@@ -95,7 +95,7 @@ def multilayer_perceptron(num_features: int, **settings) -> MultilayerPerceptron
 
 def weighted_perceptron(num_features: int, **settings) -> WeightedPerceptron:
     """The same layers, trained on the column ``weight`` with Adam; rows are not repeated."""
-    defaults = dict(layers=[num_features, *PUBLISHED_HIDDEN_LAYERS, 2], seed=SEED, weightCol="weight", stepSize=0.05)
+    defaults = dict(layers=[num_features, *PUBLISHED_HIDDEN_LAYERS, 2], seed=SEED, weightCol="weight", stepSize=0.05, batches=4)
     return WeightedPerceptron(**{**defaults, **settings})
 
 

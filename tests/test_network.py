@@ -66,6 +66,8 @@ def test_many_parts_add_up_and_repeat(spark):
     got = net.summed_gradient(blocks, LAYERS, weights)
     assert got[0] == pytest.approx(cost, rel=1e-12) and got[1] == pytest.approx(w.sum(), rel=1e-12)
     assert np.allclose(got[2], gradient, rtol=1e-10, atol=1e-9)
+    tree = net.summed_gradient(blocks, LAYERS, weights, group=2)
+    assert tree[0] == pytest.approx(cost, rel=1e-12) and np.allclose(tree[2], gradient, rtol=1e-10, atol=1e-9)
     again = net.summed_gradient(blocks, LAYERS, weights)
     assert got[0] == again[0] and (got[2] == again[2]).all()
     turns = [net.summed_gradient(blocks, LAYERS, weights, step, batches=2) for step in (0, 1)]
