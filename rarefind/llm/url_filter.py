@@ -4,7 +4,8 @@ A cascade answers for a known universe of keys, here every key that the pages ca
 encodes the listed keys, the second the unlisted keys that pass the first by mistake, the third the listed
 keys that pass the second, and so on until nothing passes by mistake. The first level that a key fails
 tells whether it is listed. Levels are bit strings inside the expression: about 10 bits for a listed key,
-and far fewer for all others.
+and far fewer for all others. A list whose first level would be over the limit is split by hash of the key into
+several cascades, of which a key asks one; executors hold the bit strings of all of them.
 
 Everything runs as DataFrame expressions. Only finished bit strings reach the driver, never keys.
 """
@@ -23,7 +24,7 @@ from rarefind.llm.bloom import Bloom, bits_for, build_bloom
 from rarefind.llm.common import stored
 
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Largest bit string of a level; 2**30 bits are 128 MB, a list of about a hundred million keys.
+#: Largest bit string of a level; 2**30 bits are 128 MB, about a hundred million listed keys. Longer lists are split.
 MAX_LEVEL_BITS = 1 << 30
 
 
@@ -72,25 +73,59 @@ class Cascade:
         return reduce(Column.__and__, [level.may_contain(key) for level in self.levels], F.lit(True))
 
 
-def build_cascade(universe: DataFrame, max_levels: int = 64) -> Cascade:
+@dataclass
+class SplitCascade:
+    """Cascades of disjoint parts of the universe, each key in one of them by its hash."""
+
+    parts: list[Cascade]
+
+    def contains(self, key: Column) -> Column:
+        listed = self.parts[-1].contains(key)
+        for i in reversed(range(len(self.parts) - 1)):
+            listed = F.when(_part_of(key, len(self.parts)) == i, self.parts[i].contains(key)).otherwise(listed)
+        return listed
+
+
+def _part_of(key: Column, parts: int) -> Column:
+    """Levels hash keys with numbers from 0 up, so that -1 tells nothing about their bits."""
+    return F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(parts))
+
+
+def _first_level(universe: DataFrame) -> tuple[int, float]:
+    """Listed keys, and the rate of mistakes that evens out the sizes of the first two levels."""
+    sizes = {r["listed"]: r["n"] for r in universe.groupBy("listed").agg(F.count("*").alias("n")).collect()}
+    listed, unlisted = sizes.get(True, 0), sizes.get(False, 0)
+    mistakes = min(0.5, math.sqrt(0.5) * listed / unlisted) if listed and unlisted else 0.5
+    return listed, max(mistakes, 1e-6)
+
+
+def build_split_cascade(universe: DataFrame, max_bits: int = MAX_LEVEL_BITS) -> SplitCascade:
+    """As ``build_cascade``, in as many parts as keep the mean first level within ``max_bits``: lists of any size."""
+    n, mistakes = first = _first_level(universe)
+    parts = -(-bits_for(n, mistakes) // max_bits)
+    if parts <= 1:
+        return SplitCascade([build_cascade(universe, first=first)])
+    own = [universe.filter(_part_of(F.col("key"), parts) == i) for i in range(parts)]
+    return SplitCascade([build_cascade(rows, max_bits=max_bits) for rows in own])
+
+
+def build_cascade(
+    universe: DataFrame, max_levels: int = 64, max_bits: int = MAX_LEVEL_BITS, first: tuple[int, float] | None = None
+) -> Cascade:
     """A cascade over distinct rows (key, listed): pass a stored table, it is read at every level.
 
     The first level lets unlisted keys pass at a rate that evens out its size and that of the next one;
-    later levels halve what is left. An empty list gives an empty cascade, which contains nothing.
+    later levels halve what is left. A level that would be over ``max_bits`` gets that many, lets more keys pass and
+    leaves them to the next one. An empty list gives an empty cascade, which contains nothing.
     """
-    sizes = {r["listed"]: r["n"] for r in universe.groupBy("listed").agg(F.count("*").alias("n")).collect()}
-    listed, unlisted = sizes.get(True, 0), sizes.get(False, 0)
     cascade = Cascade()
-    n, mistakes = listed, min(0.5, math.sqrt(0.5) * listed / unlisted) if listed and unlisted else 0.5
+    n, mistakes = first or _first_level(universe)
     while n:
         number = len(cascade.levels)
         if number == max_levels:
             raise ValueError("the keys of the universe are not distinct")
         rest = universe.filter((F.col("listed") == F.lit(number % 2 == 0)) & cascade.passes_all(F.col("key")))
-        mistakes = max(mistakes, 1e-6)
-        if bits_for(n, mistakes) > MAX_LEVEL_BITS:
-            raise ValueError(f"a list of {n} keys takes over {MAX_LEVEL_BITS} bits; split the list")
-        cascade.levels.append(build_bloom(rest.select("key"), n, mistakes, number))
+        cascade.levels.append(build_bloom(rest.select("key"), n, mistakes, number, max_bits))
         wrong = (F.col("listed") == F.lit(number % 2 == 1)) & cascade.passes_all(F.col("key"))
         n, mistakes = universe.filter(wrong).count(), 0.5
     return cascade
@@ -149,7 +184,7 @@ def filter_urls(
 
 def _cascades(
     spark: SparkSession, urls: DataFrame, rules: Sequence[Rule], blocked_hosts: DataFrame
-) -> dict[str, Cascade]:
+) -> dict[str, SplitCascade]:
     """One cascade for each of: allow rules, block rules, blocked hosts.
 
     The universe is made in one aggregate over all keys that the urls can ask for, with the listed keys
@@ -176,9 +211,9 @@ def _cascades(
         "url_keys",
     )
 
-    def cascade(kind: str, name: str) -> Cascade:
+    def cascade(kind: str, name: str) -> SplitCascade:
         is_listed = F.col("listed").bitwiseAND(F.lit(listed[name])) > 0
-        return build_cascade(universe.filter(F.col("list") == kind).select("key", is_listed.alias("listed")))
+        return build_split_cascade(universe.filter(F.col("list") == kind).select("key", is_listed.alias("listed")))
 
     return {"allow": cascade("rules", "allow"), "block": cascade("rules", "block"), "hosts": cascade("hosts", "hosts")}
 

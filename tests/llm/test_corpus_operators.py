@@ -21,7 +21,7 @@ from rarefind.llm import byte_windows, jaccard_join, packing, suffix_dedup
 from rarefind.llm.components import connected_components
 from rarefind.llm.queries import ORACLE_SQL, REGISTRY
 from rarefind.llm.rows import drop_rows, row_key
-from rarefind.llm.url_filter import Rule, build_cascade, filter_urls
+from rarefind.llm.url_filter import Rule, build_cascade, build_split_cascade, filter_urls
 from rarefind.llm.vector_search import _grid, nearest_neighbours
 
 TOKENS = public_tokenizers.path("byte_bpe_50k.json")
@@ -154,6 +154,16 @@ def test_cascade_is_exact(spark, share):
     assert keys.filter(cascade.contains(F.col("key")) != F.col("listed")).count() == 0
 
 
+@pytest.mark.parametrize(("share", "max_bits", "parts"), [(600, 512, 2), (600, 1 << 30, 1), (0, 64, 1)])
+def test_a_long_list_is_split(spark, share, max_bits, parts):
+    """Limits far below the list: several cascades, no level above the limit, every answer right."""
+    keys = spark.range(1000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), (F.col("id") < share).alias("listed"))
+    cascade = build_split_cascade(keys, max_bits)
+    assert len(cascade.parts) >= parts and (parts > 1) == (len(cascade.parts) > 1)
+    assert all(level.size <= max_bits for part in cascade.parts for level in part.levels)
+    assert keys.filter(cascade.contains(F.col("key")) != F.col("listed")).count() == 0
+
+
 def test_url_query_is_native_and_equals_its_sql(spark, sf_dir):
     ours = REGISTRY["op4_url_filter"](spark, sf_dir)
     assert not re.search("Python|Arrow|Pandas", ours._jdf.queryExecution().executedPlan().toString())
