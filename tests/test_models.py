@@ -344,3 +344,15 @@ def test_a_search_reads_the_source_three_times(spark):
     )
     assert reads.value <= 3
     assert found.trials.count() == 12
+
+
+def test_forests_hold_few_numbers_for_each_task(spark):
+    """Bagging takes a number for each row and tree: with many trees partitions get smaller, and no ids are cached beside."""
+    forest = train.random_forest(spark, numTrees=100)
+    assert not forest.getCacheNodeIds() and not train.gradient_boosted_trees(spark).getCacheNodeIds()
+    assert train.bagged_trees(forest) == 100
+    assert train.bagged_trees(forest, train.param_grid(forest, {"numTrees": [2, 7]})) == 7
+    assert train.bagged_trees(train.gradient_boosted_trees(spark, maxIter=50)) == 1
+    rows = spark.range(10)
+    assert spread(rows, 2_000_000, 100).rdd.getNumPartitions() == 20
+    assert spread(rows, 2_000_000, 1000).rdd.getNumPartitions() == 200
