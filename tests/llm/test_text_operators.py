@@ -473,3 +473,17 @@ def test_language_without_training_rows(spark):
     assert model.languages == []
     found = language_id.identify_languages(language_id.document_evidence(_docs(spark, ["some text"])), model).collect()
     assert not any(r["accepted"] for r in found)
+
+
+def test_workers_of_the_join_hold_little():
+    """Word numbers and waiting n-grams of a task stay within some megabytes however many words the texts have."""
+    from rarefind.llm import jaccard_join
+
+    tracemalloc = pytest.importorskip("tracemalloc")
+    tracemalloc.start()
+    numbers = jaccard_join.Memo(jaccard_join._word_number, jaccard_join._MEMO_WORDS)
+    for i in range(150_000):
+        numbers[f"word{i}"]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12e6 and 8 * jaccard_join.SORTED_NGRAMS <= 2e6
