@@ -126,7 +126,7 @@ def test_odd_rows(spark):
 
 
 def test_published_perceptron_trains_through_blocks(spark):
-    """From Spark's first weights to no higher a cost than Spark's own steps reach; copies of rows count as often."""
+    """From Spark's first weights to about the cost for each row that as many of Spark's own steps reach."""
     x, y, _ = _rows(400, 8)
     frame = _frame(spark, x, y, np.ones(400))
     blocked = train.multilayer_perceptron(3, layers=LAYERS, maxIter=30, seed=3)
@@ -134,11 +134,11 @@ def test_published_perceptron_trains_through_blocks(spark):
     own = MultilayerPerceptronClassifier(layers=LAYERS, maxIter=30, seed=3)
 
     def cost(model):
-        return net.block_gradient(LAYERS, model.weights.toArray(), x, y, np.ones(400))[0]
+        return net.block_gradient(LAYERS, model.weights.toArray(), x, y, np.ones(400))[0] / 400
 
     none = {blocked.maxIter: 0}
     assert (blocked.fit(frame, none).weights.toArray() == own.fit(frame, {own.maxIter: 0}).weights.toArray()).all()
-    assert cost(blocked.fit(frame)) <= 1.1 * cost(own.fit(frame)) + 1e-3 < cost(blocked.fit(frame, none))
+    assert cost(blocked.fit(frame)) <= cost(own.fit(frame)) + 2e-3 < cost(blocked.fit(frame, none)) / 10
     with pytest.raises(Exception, match="no rows"):
         blocked.fit(frame.filter("label > 5"))
 
