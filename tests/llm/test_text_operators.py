@@ -487,3 +487,31 @@ def test_workers_of_the_join_hold_little():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 12e6 and 8 * jaccard_join.SORTED_NGRAMS <= 2e6
+
+
+def test_batches_for_workers_are_small(spark):
+    """Many long texts in one partition: a worker gets them in batches of some megabytes, all rows in order."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from rarefind.llm import common
+
+    def measure(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    texts = spark.range(0, 40, numPartitions=1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+    found = common.map_batches(texts, measure, "n bigint, size bigint").collect()
+    assert sum(r["n"] for r in found) == 40
+    assert max(r["size"] for r in found) <= common.BATCH_BYTES + (2 << 20)
+    before = spark.conf.get(common._BATCH_SETTING)
+    try:
+        spark.conf.set(common._BATCH_SETTING, "512k")
+        common.map_batches(texts, measure, "n bigint, size bigint")
+        assert spark.conf.get(common._BATCH_SETTING) == "512k"
+    finally:
+        spark.conf.set(common._BATCH_SETTING, before)
+    whole = pa.RecordBatch.from_arrays([pa.array(["y" * (1 << 17)] * 100 + [None])], names=["text"])
+    parts = [*common.small_batches(whole)]
+    assert len(parts) > 10 and pa.Table.from_batches(parts).equals(pa.Table.from_batches([whole]))
+    assert [b.num_rows for b in common.small_batches(whole.slice(0, 0))] == [0]
