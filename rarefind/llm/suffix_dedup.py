@@ -281,11 +281,13 @@ def remove_repeats(
     window: int = WINDOW,
     with_kept: bool = False,
     word_window: int | None = None,
+    passage_words: int | None = None,
 ) -> DataFrame:
     """Remove every byte covered by a window of ``window`` bytes that also starts anywhere else.
 
     With ``word_window``, also every window of so many words that also starts anywhere else, from its first
-    word to its last; what stands between words is not compared.
+    word to its last; what stands between words is not compared. With ``passage_words`` such windows are found and
+    counted in columns of their own, and stay in the text: n_passages (maximal stretches) and n_passage_bytes.
 
     Columns: id, n_bytes, n_removed, n_spans (maximal removed stretches), kept_sha256. With ``with_kept``
     also ``kept``, the text that is left (a character cut in two goes; one space stands where a cut would join two
@@ -296,24 +298,32 @@ def remove_repeats(
     Texts are read in place. Only those that a fixed-size Bloom filter takes for ones with a repeated window
     are moved to meet their runs.
     """
+    if word_window and passage_words:
+        raise ValueError("windows of words are either removed or counted")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns] if with_kept else [F.lit(0).alias("none")]).alias("row")
     texts = _texts(docs, id_col, text_col, row)
     runs = repeated_runs(docs, id_col, text_col, window).withColumn("in_words", F.lit(False))
-    if word_window:
-        of_words = repeated_runs(docs, id_col, text_col, word_window, in_words=True)
+    words_each = word_window or passage_words
+    if words_each:
+        of_words = repeated_runs(docs, id_col, text_col, words_each, in_words=True)
         runs = runs.unionByName(of_words.withColumn("in_words", F.lit(True)))
     mine = runs.groupBy("_id", "_hash").agg(F.collect_set(F.struct("first", "count", "in_words")).alias("runs"))
     rows = runs.select("_id", "_hash").distinct()
     hit = build_bloom(rows, rows.count(), 0.02, max_bits=_FILTER_BITS).may_contain(F.col("_id"), F.col("_hash"))
 
-    more = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "row"]
-    names = more if with_kept else more[:5]
+    numbers = ["n_bytes", "n_removed", "n_spans", "n_passages", "n_passage_bytes"]
+    more = [id_col, *numbers, "kept_sha256", "kept", "row"]
+    names = [id_col, *numbers[:3], "kept_sha256"]
+    names += numbers[3:] if passage_words else []
+    names += ["kept", "row"] if with_kept else []
     zero = F.lit(0).cast("bigint")
     clean = texts.filter(~hit).select(
         F.col("_id").alias(id_col),
         F.octet_length("_text").cast("bigint").alias("n_bytes"),
         zero.alias("n_removed"),
         zero.alias("n_spans"),
+        zero.alias("n_passages"),
+        zero.alias("n_passage_bytes"),
         F.sha2(F.col("_text").cast("binary"), 256).alias("kept_sha256"),
         F.col("_text").alias("kept"),
         "row",
@@ -325,13 +335,18 @@ def remove_repeats(
             rows = []
             for i in range(batch.num_rows):
                 data = batch.column(1)[i].as_buffer().to_pybytes()
-                parts = parts_without_runs(data, batch.column(2)[i].as_py() or [], window, word_window)
+                runs = batch.column(2)[i].as_py() or []
+                of_words = [r for r in runs if r["in_words"]]
+                cut = runs if word_window else [r for r in runs if not r["in_words"]]
+                parts = parts_without_runs(data, cut, window, word_window)
+                around = parts_without_runs(data, of_words, window, words_each) if passage_words else [data]
                 kept = b"".join(parts)
                 text = with_words_apart(parts).decode("utf-8", "ignore") if with_kept else ""
                 digest = hashlib.sha256(kept).hexdigest()
-                rows.append((len(data), len(data) - len(kept), len(parts) - 1, digest, text))
-            columns = [batch.column(0), *[pa.array([r[j] for r in rows], pa.int64()) for j in range(3)]]
-            columns += [pa.array([r[j] for r in rows], pa.string()) for j in (3, 4)]
+                passages = len(around) - 1, len(data) - sum(map(len, around))
+                rows.append((len(data), len(data) - len(kept), len(parts) - 1, *passages, digest, text))
+            columns = [batch.column(0), *[pa.array([r[j] for r in rows], pa.int64()) for j in range(5)]]
+            columns += [pa.array([r[j] for r in rows], pa.string()) for j in (5, 6)]
             yield pa.RecordBatch.from_arrays([*columns, batch.column(3)], names=more)
 
     types = dict(clean.dtypes)

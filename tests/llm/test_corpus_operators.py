@@ -191,6 +191,26 @@ def _repeats(texts, window):
     return out
 
 
+def test_op6_tells_passages_of_over_50_words(spark, tmp_path):
+    """Passages of 51 short words are under 400 bytes: nothing is removed, and columns of their own tell them."""
+    fresh = (f"w{i}" for i in range(100_000))
+
+    def some(n):
+        return " ".join(next(fresh) for _ in range(n))
+
+    passage, short, long = some(51), some(50), some(90)
+    texts = [f"{some(9)} {passage} {some(7)}", f"{some(30)} {passage.replace(' ', '  ')}", f"{short} {some(5)}", f"{some(5)} {short}"]
+    texts += [f"{some(3)} {long} x", f"{some(4)} {long} {some(80)} {passage}", some(200), "", None]
+    _docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = sorted(REGISTRY["op6_suffix_dedup"](spark, str(tmp_path)).collect(), key=lambda r: r["doc_id"])
+    both = len(long) + len(passage)
+    expected = [(1, len(passage)), (1, len(passage) + 50), (0, 0), (0, 0), (1, len(long)), (2, both), (0, 0), (0, 0), (0, 0)]
+    assert len(passage) < 400 < len(long)
+    assert [(r["n_passages"], r["n_passage_bytes"]) for r in rows] == expected
+    assert [r["n_removed"] > 0 for r in rows] == [False] * 4 + [True] * 2 + [False] * 3
+    assert [r["n_bytes"] for r in rows] == [len(t or "") for t in texts]
+
+
 @pytest.mark.parametrize("window", [40, 400])
 def test_remove_repeats(spark, monkeypatch, window):
     monkeypatch.setattr(byte_windows, "CHUNK", 1500)
