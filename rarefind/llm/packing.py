@@ -13,6 +13,7 @@ intervals by Spark; no item reaches the driver.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections import defaultdict
@@ -24,11 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rarefind.llm.common import RecentMemo, in_chunks, map_batches, spaced_parts, stored
+from rarefind.llm.common import map_batches, stored
 
 CAPACITY = 1024
 END_ID = 2
-_MEMO_PARTS = 250_000
 _ROWS_PER_BUCKET = 100_000
 
 
@@ -37,9 +37,12 @@ class TextIds:
 
     The merges run on the vocabulary's ranks, which give the same ids as the tokenizer file several
     times as fast. A text with a special token of the file goes through the tokenizer itself.
+
+    Look-ahead makes the pattern several times as slow and fails on very long runs of white space. Its
+    one use is that such a run leaves its last character to what follows, so a text is cut there instead.
     """
 
-    def __init__(self, tokenizer_file: str, limit: int):
+    def __init__(self, tokenizer_file: str):
         import tiktoken
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -52,31 +55,23 @@ class TextIds:
             if token not in special
         }
         self._encode = tiktoken.Encoding(
-            "ranks", pat_str=_BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={}
+            "ranks", pat_str=_CUT_TEXT_PATTERN, mergeable_ranks=ranks, special_tokens={}
         ).encode_ordinary
         self._special = special
-        self._memo = RecentMemo(lambda parts: [self._part(p) for p in parts], limit)
-
-    def _part(self, part: str) -> bytes:
-        return array("I", self._encode(part)).tobytes()
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
-        plain = [None if self._has_special(t) else spaced_parts(t) for t in texts]
-        known = self._memo.lookup({part for parts in plain if parts for part in parts})
-        return [
-            array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-            if parts is None
-            else b"".join([known[p] for p in parts])
-            for text, parts in zip(texts, plain)
-        ]
 
-    def _has_special(self, text: str) -> bool:
-        return any(token in text for token in self._special)
+    def of(self, text: str) -> bytes:
+        """The ids of a text."""
+        if any(token in text for token in self._special):
+            return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        cuts = [0, *[m.end() for m in _BEFORE_LAST_SPACE.finditer(text)], len(text)]
+        return b"".join([array("I", self._encode(text[a:b])).tobytes() for a, b in zip(cuts, cuts[1:])])
 
 
-# Fixed value: how the byte-level pre-tokenizer splits text.
-_BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# How the byte-level pre-tokenizer splits text, but for the look-ahead in its ``\s+(?!\S)|\s+``, and
+# the characters that it takes as white space (``\s`` of Python has four more).
+_CUT_TEXT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_BEFORE_LAST_SPACE = re.compile(f"[{_SPACE}](?=[{_SPACE}][^{_SPACE}])")
 
 
 def _byte_letters(alphabet: Sequence[str]) -> dict[str, int]:
@@ -90,8 +85,8 @@ def _byte_letters(alphabet: Sequence[str]) -> dict[str, int]:
 
 
 @lru_cache(maxsize=2)
-def _text_ids(tokenizer_file: str, limit: int) -> TextIds:
-    return TextIds(tokenizer_file, limit)
+def _text_ids(tokenizer_file: str) -> TextIds:
+    return TextIds(tokenizer_file)
 
 
 def token_pieces(
@@ -114,21 +109,19 @@ def token_pieces(
     schema = f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, end = _text_ids(tokenizer_file, _MEMO_PARTS).of, array("I", [end_id]).tobytes()
+        of, end = _text_ids(tokenizer_file).of, array("I", [end_id]).tobytes()
         for batch in batches:
-            rows, source, place = [], [], 0
-            for texts in in_chunks([t or "" for t in batch.column(1).to_pylist()]):
-                for data in of(texts):
-                    data += end
-                    n = len(data) // 4
-                    at = piece = 0
-                    to = n % capacity or min(n, capacity)
-                    while at < n:
-                        ids = data[4 * at : 4 * to]
-                        rows.append((piece, at, to - at, zlib.crc32(ids), ids if with_ids else None))
-                        source.append(place)
-                        piece, at, to = piece + 1, to, to + capacity
-                    place += 1
+            rows, source = [], []
+            for place, text in enumerate(batch.column(1).to_pylist()):
+                data = of(text or "") + end
+                n = len(data) // 4
+                at = piece = 0
+                to = n % capacity or min(n, capacity)
+                while at < n:
+                    ids = data[4 * at : 4 * to]
+                    rows.append((piece, at, to - at, zlib.crc32(ids), ids if with_ids else None))
+                    source.append(place)
+                    piece, at, to = piece + 1, to, to + capacity
             columns = [
                 batch.column(0).take(pa.array(source, pa.int64())),
                 pa.array([r[0] for r in rows], pa.int32()),

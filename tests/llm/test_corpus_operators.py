@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 from pathlib import Path
 
 import duckdb
@@ -92,6 +93,36 @@ def test_pack_texts(spark):
     assert len(filled) <= 1.02 * -(-sum(filled.values()) // 1024) + 1
 
 
+SPACES = "\t\n\v\f\r \x85\xa0\u1680\u2000\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+@lru_cache(maxsize=1)
+def _tokenizer():
+    return Tokenizer.from_file(TOKENS)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from(SPACES + "  \x1c\x1f\u180e\u200b\ufeffab'slt1\u0663\u65e5.<"), max_size=30))
+def test_text_ids_of_white_space_runs(text):
+    ids = packing._text_ids(TOKENS).of(text)
+    assert np.frombuffer(ids, "<u4").tolist() == _tokenizer().encode(text, add_special_tokens=False).ids
+
+
+def test_text_ids_take_a_text_at_once_and_long_runs_of_white_space():
+    ids, calls = packing._text_ids(TOKENS), []
+    text = " ".join(f"{i:x}th" for i in range(3000))
+    encode, ids._encode = ids._encode, lambda t: calls.append(t) or encode(t)
+    try:
+        got = np.frombuffer(ids.of(text), "<u4").tolist()
+    finally:
+        ids._encode = encode
+    assert calls == [text]
+    assert got == _tokenizer().encode(text, add_special_tokens=False).ids
+    run = np.frombuffer(ids.of(" " * 1_200_000 + "a"), "<u4").tolist()
+    assert run == np.frombuffer(ids.of(" " * 1_199_999) + ids.of(" a"), "<u4").tolist()
+    assert set(run[:-1]) == set(_tokenizer().encode(" ").ids)
+
+
 def test_pack_ids_and_edges(spark):
     pieces = packing.token_pieces(_docs(spark, ["a b"]), TOKENS, with_ids=True).first()
     assert pieces["ids"] == [*Tokenizer.from_file(TOKENS).encode("a b").ids, 2]
