@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 from pyspark import keyword_only
-from pyspark.ml import Estimator, Model
+from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassificationModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from rarefind.functions.hashing import unit_hash
 from rarefind.operators import aggregate as agg
 from rarefind.operators import features, sample, score, search, train
+from rarefind.operators.scale import fit_moments
 from rarefind.operators.skew import spread
 from rarefind.plans import fixtures as fx
+from rarefind.plans.queries import _same_scores
 from rarefind.plans.reports import network_study
 from rarefind.sources.models import load_model, save_model
 
@@ -197,6 +199,21 @@ def test_network_study_saves_the_kept_model(lines, tmp_path):
     assert study.scored.count() == 600
 
 
+def test_every_stage_of_the_loaded_network_is_compared(lines, tmp_path):
+    path = str(tmp_path / "network")
+    study = network_study(lines, fx.ROW_KEYS, save_to=path, round_iters=10, max_rounds=1, floor=0.0)
+    loaded = load_model(path)
+
+    def same(other):
+        return {r["same_scores"] for r in _same_scores(study.pipeline, other, lines).collect()}
+
+    assert same(loaded) == {True}
+    # The network alone is the kept one, the stages in front of it are those of another table.
+    doubled = lines.withColumn("l_quantity", F.col("l_quantity") * 2)
+    moments = fit_moments(doubled, fx.FEATURES).stage()
+    assert same(PipelineModel(stages=[moments, *loaded.stages[1:]])) == {False}
+
+
 # ---- the search ----
 
 
