@@ -11,6 +11,7 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasPredictionCol
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from rarefind.functions.hashing import unit_hash
 from rarefind.operators import aggregate as agg
 from rarefind.operators import features, sample, score, search, train
@@ -152,9 +153,13 @@ class _Scripted:
         return Model()
 
 
+def pairs_of(spark):
+    return spark.createDataFrame([(1.0, 1.0)], "label double, features double")
+
+
 @pytest.fixture()
 def pairs(spark):
-    return spark.createDataFrame([(1.0, 1.0)], "label double, features double")
+    return pairs_of(spark)
 
 
 def test_early_stopping_keeps_the_best_round(pairs):
@@ -179,6 +184,23 @@ def test_equal_to_best_resets_the_count(pairs):
     assert len(out.history) == 5
 
 
+def test_the_query_trains_until_no_gain(spark, sf_dir, monkeypatch):
+    """No number of rounds ends the query's training: the published rule does, which has not fired after eight."""
+    seen = []
+
+    def script(train_rows, validation, estimator, **stopping):
+        stopping = {k: v for k, v in stopping.items() if k not in ("save_to", "before", "round_iters", "floor")}
+        rounds = _Scripted([0.9 + r / 1000 for r in range(90)] + [0.5] * 30)
+        seen.append(len(early_stop(pairs_of(spark), pairs_of(spark), rounds, **stopping).history))
+        raise KeyboardInterrupt
+
+    early_stop = train.train_until_no_gain
+    monkeypatch.setattr("rarefind.plans.reports.train_until_no_gain", script)
+    with pytest.raises(KeyboardInterrupt):
+        queries()["train_until_no_gain"](spark, sf_dir)
+    assert seen == [90 + train.PUBLISHED_PATIENCE]
+
+
 def test_network_study_saves_the_kept_model(lines, tmp_path):
     path = str(tmp_path / "network")
     study = network_study(
