@@ -449,18 +449,21 @@ def least_cost(
 class BlockPerceptron(MultilayerPerceptronClassifier):
     """Spark's perceptron, first weights and settings included, whose passes over all rows go through blocks in 32 bits.
 
-    Only the solver ``l-bfgs`` is worked out so, and a fit without steps, or by another solver, is Spark's own.
+    Only the solver ``l-bfgs`` is worked out so, and a fit without steps, or by another solver, is Spark's own. A row counts
+    as often as its column ``COPIES`` says, if there is one: its gradient is worked out once and taken that many times.
     """
 
     def _fit(self, dataset: DataFrame) -> MultilayerPerceptronClassificationModel:
+        copies = COPIES if COPIES in dataset.columns else None
         if self.getSolver() != "l-bfgs" or self.getMaxIter() == 0:
-            return super()._fit(dataset)
+            return super()._fit(repeat_rows(dataset, copies) if copies else dataset)
         layers = self.getLayers()
-        rows = dataset.select(F.col(self.getLabelCol()).alias("label"), F.col(self.getFeaturesCol()).alias("features"))
+        wanted = [F.col(self.getLabelCol()).alias("label"), F.col(self.getFeaturesCol()).alias("features")]
+        rows = dataset.select(*wanted, *([copies] if copies else []))
         names = [self.getLabelCol(), self.getFeaturesCol()]
         one = dataset.sparkSession.createDataFrame([(0.0, Vectors.zeros(layers[0]))], names)
         start = super(BlockPerceptron, self.copy({self.maxIter: 0}))._fit(one).weights.toArray()
-        blocks = to_blocks(rows, layers[0], layers[-1], dtype="f4").persist(StorageLevel.MEMORY_AND_DISK)
+        blocks = to_blocks(rows, layers[0], layers[-1], copies, "f4").persist(StorageLevel.MEMORY_AND_DISK)
 
         def mean(weights: np.ndarray) -> tuple[float, np.ndarray]:
             cost, total, gradient = summed_gradient(blocks, layers, weights, dtype="f4")

@@ -5,6 +5,7 @@ import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
 
 from rarefind.operators import network as net
 from rarefind.operators import train
@@ -143,6 +144,29 @@ def test_published_perceptron_trains_through_blocks(spark):
         blocked.fit(frame.filter("label > 5"))
 
 
+def test_copies_count_as_repeated_rows(spark):
+    """A row with its number of copies weighs in the fit what as many equal rows do, and is there once."""
+    x, y, _ = _rows(200, 8)
+    weighed = _frame(spark, x, y, np.where(y == 1, 2.6, 1.0)).union(_frame(spark, x[:3], 1 - y[:3], np.zeros(3)))
+    counted = train.repeat_by_weight(weighed, "weight", counted=True)
+    repeated = train.repeat_by_weight(weighed, "weight")
+    assert counted.count() == 200 and repeated.count() == counted.agg(F.sum(net.COPIES)).first()[0] == 200 + 2 * y.sum()
+    network = train.multilayer_perceptron(3, layers=LAYERS, maxIter=4, seed=3)
+    assert np.allclose(network.fit(counted).weights, network.fit(repeated).weights, atol=1e-3)
+    none = {network.maxIter: 0}
+    assert (network.fit(counted, none).weights.toArray() == network.fit(repeated, none).weights.toArray()).all()
+
+
+def test_steps_in_one_task_are_the_steps(spark, monkeypatch):
+    x, y, w = _rows(3000, 5)
+    estimator = net.WeightedPerceptron(layers=LAYERS, maxIter=6, weightCol="weight", batches=2, keep=0.6)
+    blocks = estimator.blocks(_frame(spark, x, y, w, 2).repartition(2))
+    one_task, costs = estimator.fit_blocks(blocks).weights.toArray(), estimator.costs
+    monkeypatch.setattr(net, "ONE_TASK_ROWS", 0)
+    assert (estimator.fit_blocks(blocks).weights.toArray() == one_task).all() and estimator.costs == costs
+    blocks.unpersist()
+
+
 def test_least_cost_of_a_bowl():
     scale = np.array([1.0, 10.0, 100.0])
     found = net.least_cost(lambda v: (float(scale @ (v - 3) ** 2) + 1, 2 * scale * (v - 3)), np.zeros(3), 100, 1e-12)
